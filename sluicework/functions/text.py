@@ -127,7 +127,7 @@ def _unaccent_tables() -> tuple[str, str, dict[str, str]]:
             continue
         else:
             nfd = unicodedata.normalize("NFD", ch)
-            if nfd == ch:
+            if not any(c in LIGATURES or unicodedata.category(c) == "Mn" for c in nfd):
                 continue
             out = "".join(LIGATURES.get(c, c) for c in nfd if unicodedata.category(c) != "Mn")
             out = unicodedata.normalize("NFC", out)

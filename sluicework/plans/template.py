@@ -1,3 +1,256 @@
-class Lookup: pass
-class Rule: pass
-class Template: pass
+"""A conversion template and the tables one run of it produces."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.values import TEXT, Val, canonical, canonical_text, text, val
+from ..operators.daterange import in_range
+from ..operators.lookup import Lookup, Lookups, build_side, entries, probe
+from ..operators.provenance import prepare
+from ..operators.rules import Rule, base_used, choose, emit_count, rule_index
+
+__all__ = ["Lookup", "Rule", "Run", "Template"]
+
+
+@dataclass
+class Template:
+    """What to read, how to route rows and which columns to write.
+
+    ``variables`` read source fields only. ``rules`` are tried in order; without
+    rules nothing is written. ``output`` maps headers to variables.
+    """
+
+    name: str
+    variables: dict[str, Val]
+    output: dict[str, str]
+    rules: list[Rule] = field(default_factory=lambda: [Rule()])
+    lookups: dict[str, Lookup] = field(default_factory=dict)
+    date_range: str | None = None  # the variable a file-name date range applies to
+
+    def __post_init__(self):
+        self.variables = {k: val(v) for k, v in self.variables.items()}
+        known = set(self.variables)
+        extra = {k for r in self.rules for row in r.rows for k in row} - known
+        for name in extra:
+            if not all(name in row for r in self.rules for row in r.rows):
+                raise ValueError(f"{name!r} is only set by some rules and has no base expression")
+        missing = set(self.output.values()) - known - extra
+        if missing:
+            raise ValueError(f"output uses undefined variables: {sorted(missing)}")
+        if self.date_range and self.date_range not in known | extra:
+            raise ValueError("the date range needs a date variable")
+        blocks = Lookups(self.lookups)
+        for p in self._probes():
+            blocks.resolve(p.block)
+
+    def _vals(self) -> list[Val]:
+        out = list(self.variables.values())
+        for r in self.rules:
+            out.append(r.when)
+            out += [v for row in r.rows for v in row.values()]
+        return out
+
+    def _probes(self):
+        return {p.key: p for v in self._vals() for p in v.lookups}.values()
+
+    def fields(self) -> set[str]:
+        """Source columns the template reads by name."""
+        parents = self._vals() + [p for lk in self.lookups.values() for p in lk.parents()]
+        return set().union(*(v.fields for v in parents)) if parents else set()
+
+    def run(self, df: DataFrame) -> "Run":
+        if self.lookups and "_record_num" not in df.columns:
+            raise ValueError("lookups need _record_num to tell which row is the last one")
+        return Run(self, prepare(df, self.fields()))
+
+
+class Run:
+    """Lazy tables of one run: the output and the audit over the same rows."""
+
+    def __init__(self, template: Template, source: DataFrame):
+        self.template = template
+        self.source = source
+
+    # ------------------------------------------------------------ stages
+
+    def _joined(self) -> DataFrame:
+        t, df = self.template, self.source
+        blocks = Lookups(t.lookups)
+        for p in t._probes():
+            side = build_side(self.source, t.lookups[blocks.resolve(p.block)])
+            df = probe(df, side, p.probe, p.prefix)
+        return df
+
+    def _date_override(self) -> bool:
+        return any(self.template.date_range in row for r in self.template.rules for row in r.rows)
+
+    def routed(self) -> DataFrame:
+        """One row per source row with its rule, the rows it will emit and why it is dropped."""
+        t = self.template
+        df = self._joined()
+        early = t.date_range is not None and not self._date_override()
+        rule = rule_index(t.rules)
+        if early:
+            date = F.coalesce(canonical(t.variables[t.date_range]), F.lit(""))
+            df = df.withColumn("_date_ok", in_range(date, F.col("_stem")))
+            rule = F.when(F.col("_date_ok"), rule)
+        df = df.withColumn("_rule", rule)
+        n = emit_count(t.rules, F.col("_rule"))
+        reason = F.when(F.col("_rule").isNull(), F.lit("no_rule_match")).when(n == 0, F.lit("rule_skip"))
+        if early:
+            reason = F.when(~F.col("_date_ok"), F.lit("date_filter_from_filename")).otherwise(reason)
+        return df.withColumns({"_n": n, "_reason": reason})
+
+    def _emitted(self) -> DataFrame:
+        t = self.template
+        df = self.routed().filter("_n > 0")
+        if all(len(r.rows) <= 1 for r in t.rules):
+            df = df.withColumn("_emit_pos", F.lit(0))
+        else:
+            df = df.withColumn("_emit_pos", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+        if t.date_range is not None and self._date_override():
+            date = choose(t.rules, t.date_range, t.variables.get(t.date_range), F.col("_rule"), F.col("_emit_pos"), canonical)
+            df = df.withColumn("_date_ok", in_range(F.coalesce(date, F.lit("")), F.col("_stem")))
+        return df
+
+    def _kept(self) -> DataFrame:
+        df = self._emitted()
+        return df.filter("_date_ok") if "_date_ok" in df.columns else df
+
+    def _variable(self, name: str) -> tuple[Column, bool]:
+        """A variable's text and whether it still has to be canonicalised."""
+        t = self.template
+        base = t.variables.get(name)
+        parts = [base] if base is not None else []
+        parts += [row[name] for r in t.rules for row in r.rows if name in row]
+        done = all(p.kind != TEXT or p.numeric is not None or _settled(p) for p in parts)
+        return choose(t.rules, name, base, F.col("_rule"), F.col("_emit_pos"), text), not done
+
+    # ------------------------------------------------------------ tables
+
+    def output(self, with_order: bool = False) -> DataFrame:
+        """The converted rows. ``with_order`` keeps file, record number and emit position."""
+        t = self.template
+        used = list(dict.fromkeys(t.output.values()))
+        order = ["_file", "_stem", "_record_num", "_emit_pos", "_rule"] if with_order else []
+        cols, pending = [], {}
+        for i, name in enumerate(used):
+            c, pending[name] = self._variable(name)
+            cols.append(c.alias(f"_v{i}"))
+        raw = self._kept().select(*order, *cols)
+        at = {name: F.col(f"_v{i}") for i, name in enumerate(used)}
+        return raw.select(
+            *order,
+            *[
+                F.coalesce(canonical_text(at[v]) if pending[v] else at[v], F.lit("")).alias(header)
+                for header, v in t.output.items()
+            ],
+        )
+
+    def outcomes(self) -> DataFrame:
+        """One record per emitted row: where it came from and which rule made it."""
+        return self._kept().select(
+            "_file", "_record_num", "_emit_pos", "_rule", F.lit("emit").alias("action")
+        )
+
+    def filtered(self) -> DataFrame:
+        """One record per dropped row with the reason."""
+        t = self.template
+        cols = ["_file", "_record_num", "_rule", "_reason"]
+        out = self.routed().filter("_reason IS NOT NULL").select(*cols)
+        if t.date_range is not None and self._date_override():
+            late = self._emitted().filter("NOT _date_ok")
+            out = out.unionByName(late.withColumn("_reason", F.lit("date_filter_from_filename")).select(*cols))
+        return out
+
+    def unmatched(self) -> DataFrame:
+        """The source row of every row no rule matched."""
+        return self.routed().filter("_reason = 'no_rule_match'").select(*self.source.columns)
+
+    def errors(self) -> DataFrame:
+        """One record per failing cell: variable and where its expression stands."""
+        t = self.template
+        rule, pos = F.col("_rule"), F.col("_emit_pos")
+        names = list(dict.fromkeys(t.output.values()))
+        tests = []
+        for n in names:
+            base = t.variables.get(n)
+            if base is not None and base.const is None:
+                first = F.when((pos == 0) & base_used(t.rules, n, rule) & base.col.isNull(), _cell(n, "variable", -1))
+                tests.append(first)
+            for i, r in enumerate(t.rules):
+                for p, row in enumerate(r.rows):
+                    if n in row and row[n].const is None:
+                        hit = (rule == i) & (pos == p) & row[n].col.isNull()
+                        tests.append(F.when(hit, _cell(n, "override", p)))
+        if not tests:
+            tests = [F.when(F.lit(False), _cell("", "", 0))]
+        cells = self._kept().select("_file", "_record_num", "_rule", F.explode(F.array_compact(F.array(*tests))).alias("c"))
+        return cells.select("_file", "_record_num", "_rule", "c.variable", "c.origin", "c.emit_pos")
+
+    def lookup_dump(self) -> DataFrame:
+        """Every lookup definition in build order, overwritten ones included."""
+        out = None
+        for block, lk in self.template.lookups.items():
+            e = entries(self.source, lk)
+            part = e.unpivot(["_file", "_record_num", "_key"], list(lk.values), "field", "value").filter("value IS NOT NULL")
+            part = part.withColumn("block", F.lit(block))
+            out = part if out is None else out.unionByName(part)
+        if out is None:
+            raise ValueError("the template has no lookups")
+        return out.select("_file", "_record_num", "block", F.col("_key").alias("key"), "field", "value")
+
+    def counters(self) -> DataFrame:
+        """Rows in, rows out, drops by reason and counted errors per file, in one pass."""
+        t = self.template
+        rule = F.col("_rule")
+        if t.date_range is not None and self._date_override():
+            flags = None
+            for i, r in enumerate(t.rules):
+                hits = F.lit(0)
+                for p in range(len(r.rows)):
+                    v = r.rows[p].get(t.date_range, t.variables.get(t.date_range))
+                    hits = hits + in_range(F.coalesce(canonical(v), F.lit("")), F.col("_stem")).cast("int")
+                flags = F.when(rule == i, hits) if flags is None else flags.when(rule == i, hits)
+            emitted = flags.otherwise(F.lit(0)) if flags is not None else F.lit(0)
+        else:
+            emitted = F.when(F.col("_reason").isNull(), F.col("_n")).otherwise(F.lit(0))
+        failed = F.lit(0)
+        for n in dict.fromkeys(t.output.values()):
+            base = t.variables.get(n)
+            if base is not None and base.const is None:
+                failed = failed + (base_used(t.rules, n, rule) & base.col.isNull()).cast("int")
+        df = self.routed()
+        def count(reason):
+            return F.sum((F.col("_reason") == reason).cast("bigint"))
+
+        zero = F.lit(0).cast("bigint")
+        return df.groupBy("_file").agg(
+            F.count(F.lit(1)).alias("rows_in"),
+            F.sum(emitted.cast("bigint")).alias("rows_out"),
+            F.coalesce(count("no_rule_match"), zero).alias("no_rule_match"),
+            F.coalesce(count("rule_skip"), zero).alias("rule_skip"),
+            F.coalesce(count("date_filter_from_filename"), zero).alias("date_filtered"),
+            F.sum(F.coalesce(failed, F.lit(0)).cast("bigint")).alias("errors"),
+        ).withColumn("template", F.lit(t.name))
+
+    def summary(self) -> DataFrame:
+        """The run as one document per template."""
+        names = ["rows_in", "rows_out", "no_rule_match", "rule_skip", "date_filtered", "errors"]
+        total = self.counters().groupBy("template").agg(
+            F.count(F.lit(1)).alias("files"), *[F.sum(n).alias(n) for n in names]
+        )
+        return total.withColumn("document", F.to_json(F.struct("template", "files", *names)))
+
+
+def _settled(v: Val) -> bool:
+    """A literal whose canonical text is itself."""
+    return isinstance(v.const, str) and not any(ch.isdigit() or ch == "." for ch in v.const)
+
+
+def _cell(name: str, origin: str, pos: int) -> Column:
+    return F.struct(F.lit(name).alias("variable"), F.lit(origin).alias("origin"), F.lit(pos).alias("emit_pos"))
