@@ -2,16 +2,35 @@
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.values import TEXT, Val, canonical, canonical_text, text, val
+from ..functions.values import TEXT, Val, canonical, canonical_text, register_functions, text, val
 from ..operators.daterange import in_range
 from ..operators.lookup import Lookup, Lookups, build_side, entries, probe
 from ..operators.provenance import prepare
 from ..operators.rules import Rule, base_used, choose, emit_count, rule_index
+from ..session import session_conf
+
+
+
+def exact_names(df: DataFrame):
+    """Column names match letter for letter while a plan is built."""
+    return session_conf(df.sparkSession, {"spark.sql.caseSensitive": "true"})
+
+
+def _exact(method):
+    @functools.wraps(method)
+    def run(self, *args, **kwargs):
+        register_functions(self.source.sparkSession)
+        with exact_names(self.source):
+            return method(self, *args, **kwargs)
+
+    return run
+
 
 __all__ = ["Lookup", "Rule", "Run", "Template"]
 
@@ -65,7 +84,8 @@ class Template:
     def run(self, df: DataFrame) -> "Run":
         if self.lookups and "_record_num" not in df.columns:
             raise ValueError("lookups need _record_num to tell which row is the last one")
-        return Run(self, prepare(df, self.fields()))
+        with exact_names(df):
+            return Run(self, prepare(df, self.fields()))
 
 
 class Run:
@@ -132,6 +152,7 @@ class Run:
 
     # ------------------------------------------------------------ tables
 
+    @_exact
     def output(self, with_order: bool = False) -> DataFrame:
         """The converted rows. ``with_order`` keeps file, record number and emit position."""
         t = self.template
@@ -151,12 +172,14 @@ class Run:
             ],
         )
 
+    @_exact
     def outcomes(self) -> DataFrame:
         """One record per emitted row: where it came from and which rule made it."""
         return self._kept().select(
             "_file", "_record_num", "_emit_pos", "_rule", F.lit("emit").alias("action")
         )
 
+    @_exact
     def filtered(self) -> DataFrame:
         """One record per dropped row with the reason."""
         t = self.template
@@ -167,10 +190,12 @@ class Run:
             out = out.unionByName(late.withColumn("_reason", F.lit("date_filter_from_filename")).select(*cols))
         return out
 
+    @_exact
     def unmatched(self) -> DataFrame:
         """The source row of every row no rule matched."""
         return self.routed().filter("_reason = 'no_rule_match'").select(*self.source.columns)
 
+    @_exact
     def errors(self) -> DataFrame:
         """One record per failing cell: variable and where its expression stands."""
         t = self.template
@@ -192,6 +217,7 @@ class Run:
         cells = self._kept().select("_file", "_record_num", "_rule", F.explode(F.array_compact(F.array(*tests))).alias("c"))
         return cells.select("_file", "_record_num", "_rule", "c.variable", "c.origin", "c.emit_pos")
 
+    @_exact
     def lookup_dump(self) -> DataFrame:
         """Every lookup definition in build order, overwritten ones included."""
         out = None
@@ -204,6 +230,7 @@ class Run:
             raise ValueError("the template has no lookups")
         return out.select("_file", "_record_num", "block", F.col("_key").alias("key"), "field", "value")
 
+    @_exact
     def counters(self) -> DataFrame:
         """Rows in, rows out, drops by reason and counted errors per file, in one pass."""
         t = self.template

@@ -6,13 +6,14 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DecimalType, StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.values import canonical_text
-from ..session import session_conf
 from .files import glob_for
 from .text import _stem, file_name, number_lines
 
+NESTED = ("struct", "array", "map")
+
 
 @dataclass(frozen=True)
 class JsonSource:
@@ -23,11 +24,8 @@ class JsonSource:
     record_numbers: bool = True
 
 
-def _whole(f: StructField) -> StructField:
-    d = f.dataType
-    if isinstance(d, DecimalType) and d.scale < 0:
-        d = DecimalType(min(38, d.precision - d.scale), 0)
-    return StructField(f.name, d)
+def _read_as(f: StructField):
+    return f.dataType if f.dataType.typeName() in NESTED else StringType()
 
 
 def scan(spark: SparkSession, src: JsonSource) -> DataFrame:
@@ -36,18 +34,15 @@ def scan(spark: SparkSession, src: JsonSource) -> DataFrame:
         spark.read.format("json")
         .option("multiLine", str(not src.lines).lower())
         .option("pathGlobFilter", glob_for(src.suffix))
-        .option("prefersDecimal", "true")
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "_corrupt_record")
     )
     if src.columns is not None:
-        schema = ", ".join(f"`{c}` string" for c in src.columns)
-        raw = reader.schema(schema).load(src.path)
+        seen = StructType([StructField(c, StringType()) for c in src.columns])
     else:
-        # numbers such as 1e3 are inferred with a negative scale, which plans refuse
-        with session_conf(spark, {"spark.sql.legacy.allowNegativeScaleOfDecimal": "true"}):
-            seen = reader.load(src.path).schema
-        raw = reader.schema(StructType([_whole(f) for f in seen.fields])).load(src.path)
+        seen = reader.load(src.path).schema
+    # read every plain value as the very text it has in the file
+    raw = reader.schema(StructType([StructField(f.name, _read_as(f)) for f in seen.fields])).load(src.path)
     names = [c for c in raw.columns if c != "_corrupt_record"]
     if "_corrupt_record" in raw.columns and len(raw.columns) > 1:
         raw = raw.filter(F.col("_corrupt_record").isNull())
@@ -60,17 +55,17 @@ def scan(spark: SparkSession, src: JsonSource) -> DataFrame:
     rows = raw.select(*[F.col(f"`{c}`") for c in names], *provenance)
     if src.record_numbers:
         rows = number_lines(rows).withColumnRenamed("_line", "_record_num")
-    kinds = {f.name: f.dataType.typeName() for f in raw.schema.fields}
+    kinds = {f.name: f.dataType.typeName() for f in seen.fields}
     out = []
     for c in names:
         col = F.col(f"`{c}`")
-        if kinds[c] in ("struct", "array", "map"):
+        if kinds[c] in NESTED:
             out.append(F.lit("").alias(c))
         elif kinds[c] == "string":
             nested = col.rlike(r"^\s*[\[{]") if src.columns is not None else F.lit(False)
             out.append(F.when(nested, F.lit("")).otherwise(F.coalesce(col, F.lit(""))).alias(c))
         else:
-            out.append(canonical_text(F.coalesce(col.cast("string"), F.lit(""))).alias(c))
+            out.append(canonical_text(F.coalesce(col, F.lit(""))).alias(c))
     keep = ["_file"] + (["_record_num"] if src.record_numbers else [])
     return rows.select(
         *keep, _stem(F.col("_file"), src.suffix).alias("_stem"), F.lit("").alias("_sheet"), *out

@@ -145,9 +145,14 @@ def lines(spark: SparkSession, path, suffix: str, record_numbers: bool = True) -
     )
     if record_numbers:
         raw = number_lines(raw)
+    return strip_lines(raw, suffix, record_numbers)
+
+
+def strip_lines(raw: DataFrame, suffix: str, numbered: bool) -> DataFrame:
+    """Drop the byte-order mark and line-end remains; add the stem."""
     # cut bytes, not characters: the text may still be in a legacy code page
     bom = F.col("value").startswith("\ufeff")
-    if record_numbers:
+    if numbered:
         bom = bom & (F.col("_line") == 1)
     raw = raw.withColumn("value", F.when(bom, _byte_cut("value", 4, 0)).otherwise(F.col("value")))
     return raw.withColumns(

@@ -84,14 +84,14 @@ def test_normalise_decimal(spark):
 
 
 def test_json_arrays(spark, tmp_path):
-    a = '[{"a": 1.50, "b": "x", "n": {"k": 1}}, {"a": null, "c": true, "big": 12345678901234567890}, {"a": 1e3}]'
+    a = '[{"a": 1.50, "b": "x", "n": {"k": 1}}, {"a": null, "c": true, "big": 12345678901234567890}, {"a": 1e3, "d": "007"}]'
     (tmp_path / "one.in.json").write_text(a)
     (tmp_path / "two.in.json").write_text(json.dumps([{"d": "only", "a": 7}]))
     df = json_array.scan(spark, json_array.JsonSource(str(tmp_path), ".in.json"))
     assert rows(df, *FIELDS, "a", "b", "n", "c", "d", "big") == [
         ("one.in.json", "one", 1, "1.5", "x", "", "", "", ""),
         ("one.in.json", "one", 2, "", "", "", "true", "", "12345678901234567890"),
-        ("one.in.json", "one", 3, "1000", "", "", "", "", ""),
+        ("one.in.json", "one", 3, "1000", "", "", "", "007", ""),
         ("two.in.json", "two", 1, "7", "", "", "", "only", ""),
     ]
 
