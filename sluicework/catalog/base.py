@@ -31,6 +31,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread_rows(df: DataFrame) -> DataFrame:
+    """A table that arrives in fewer partitions than there are cores is spread over them."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def scalars(name: str, source: str, build, sql: dict[str, str] | None, keys: str = "k") -> None:
     """Register column functions over one derived table.
 
@@ -69,7 +75,10 @@ def _money(cents):
 
 def items(spark, sf_dir):
     """Line items as a statement export: one amount in many spellings."""
-    li = table(spark, sf_dir, "lineitem")
+    li = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"
+    )
+    li = spread_rows(li)
     cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
     df = li.select(
         F.col("l_orderkey").alias("k"),
@@ -123,7 +132,7 @@ ITEMS_SQL = """
 
 def sales(spark, sf_dir):
     """Orders with dates in several spellings and blanks in some keys."""
-    o = table(spark, sf_dir, "orders")
+    o = spread_rows(table(spark, sf_dir, "orders"))
     cents = F.round(F.col("o_totalprice") * 100).cast("bigint")
     day = F.col("o_orderdate")
     secs = (F.col("o_orderkey") % 86400).cast("int")
@@ -163,7 +172,7 @@ SALES_SQL = """
 
 def activity(spark, sf_dir):
     """Events as a log export in one file, numbered in event order."""
-    e = table(spark, sf_dir, "events")
+    e = spread_rows(table(spark, sf_dir, "events"))
     cents = F.round(F.col("value") * 100).cast("bigint")
     return e.select(
         F.col("event_id").alias("k"),
@@ -187,7 +196,7 @@ ACTIVITY_SQL = """
 
 
 def prose(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("k"), "text", "lang", "source")
+    return spread_rows(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("k"), "text", "lang", "source"))
 
 
 PROSE_SQL = "SELECT doc_id AS k, text, lang, source FROM documents"

@@ -228,26 +228,13 @@ def _offset(ts, zone):
     return _local(ts, zone) - ts
 
 
-def _seconds(interval):
-    return (
-        F.extract(F.lit("DAY"), interval) * 86400
-        + F.extract(F.lit("HOUR"), interval) * 3600
-        + F.extract(F.lit("MINUTE"), interval) * 60
-        + F.extract(F.lit("SECOND"), interval).cast("int")
-    )
-
-
 def tz_offset(t, zone):
     t = text_arg(t, "tz_offset")
     z, v = _zone(zone, False)
-    sec = _seconds(_offset(_moment(t.col), z))
-    a = F.floor(F.abs(sec) / 60)
-    out = F.concat(
-        F.when(sec < 0, F.lit("-")).otherwise(F.lit("+")),
-        F.lpad(F.floor(a / 60).cast("string"), 2, "0"),
-        F.lit(":"),
-        F.lpad((a % 60).cast("string"), 2, "0"),
-    )
+    ts = _moment(t.col)
+    there = _local(ts, z)
+    size = F.date_format(F.lit("2000-01-01").cast("timestamp_ntz") + F.abs(there - ts), "HH:mm")
+    out = F.concat(F.when(there < ts, F.lit("-")).otherwise(F.lit("+")), size)
     return derive(F.when(t.col.isNotNull() & v.col.isNotNull(), F.coalesce(out, F.lit(""))), TEXT, t, v)
 
 

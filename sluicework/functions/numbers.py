@@ -171,13 +171,13 @@ def _extreme(pick, xs):
 def price_value(s):
     """The amount of a price text: one leading currency sign and the tail after a space go."""
     s = text_arg(s, "price_value")
-    bare = F.regexp_replace(F.trim(s.col, F.lit(" ")), "^[$€£¥₽]", "")
+    bare = F.regexp_replace(F.trim(s.col), "^[$€£¥₽]", "")
     return derive(F.substring_index(bare, " ", 1), TEXT, s)
 
 
 def price_currency(s):
     s = text_arg(s, "price_currency")
-    t = F.trim(s.col, F.lit(" "))
+    t = F.trim(s.col)
     out = F.when(s.col.isNull(), F.lit(None))
     for sign_, code in CURRENCY_SIGNS.items():
         out = out.when(t.startswith(sign_), F.lit(code))

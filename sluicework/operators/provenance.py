@@ -35,7 +35,7 @@ def as_text(df: DataFrame, name: str) -> Column:
                 return F.lit("")
             if f.dataType.typeName() != "string":
                 c = c.cast("string")
-            return F.coalesce(F.trim(c, F.lit(" ")), F.lit(""))
+            return F.coalesce(F.trim(c), F.lit(""))
     return F.lit("")
 
 

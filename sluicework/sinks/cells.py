@@ -33,20 +33,37 @@ def csv_cell(c: Column, spec: CsvSpec) -> Column:
     if spec.decimal_separator != ".":
         plain = (F.octet_length(c) <= 64) & c.rlike(r"^-?[0-9]+(\.[0-9]*)?$")
         s = F.when(plain, F.replace(c, F.lit("."), F.lit(spec.decimal_separator))).otherwise(c)
-    guard = F.when(s.rlike(FORMULA), F.lit("'")).otherwise(F.lit(""))
-    breaks = s.contains("\n") | s.contains("\r")
-    flat = F.replace(F.replace(s, F.lit("\r"), F.lit("")), F.lit("\n"), F.lit("\\n"))
-    bare = F.concat(guard, F.when(breaks, flat).otherwise(s))
     q = QUOTES[spec.quote]
     if not q:
-        return bare
-    wrap = breaks | s.contains(spec.delimiter) | s.contains(q)
-    return F.when(wrap, F.concat(F.lit(q), guard, F.replace(s, F.lit(q), F.lit(q + q)), F.lit(q))).otherwise(bare)
+        return _one_line(_guarded(s))
+    wrap = s.contains("\n") | s.contains("\r") | s.contains(spec.delimiter) | s.contains(q)
+    return F.when(wrap, F.concat(F.lit(q), _guarded(F.replace(s, F.lit(q), F.lit(q + q))), F.lit(q))).otherwise(_guarded(s))
+
+
+def _guarded(s: Column) -> Column:
+    # a formula can only start below '0' or between '=' and '@': most cells skip the pattern
+    suspect = (s < "A") & ((s >= "=") | (s < "0"))
+    return F.when(suspect & s.rlike(FORMULA), F.concat(F.lit("'"), s)).otherwise(s)
+
+
+def _one_line(s: Column) -> Column:
+    flat = F.replace(F.replace(s, F.lit("\r"), F.lit("")), F.lit("\n"), F.lit("\\n"))
+    return F.when(s.contains("\n") | s.contains("\r"), flat).otherwise(s)
 
 
 def csv_line(columns: list[str], spec: CsvSpec) -> Column:
-    cells = [csv_cell(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")), spec) for c in columns]
-    return F.concat_ws(spec.delimiter, *cells)
+    """All cells of a row. Line breaks and quoting are looked at once per row, cells only where needed."""
+    raw = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in columns]
+    q = QUOTES[spec.quote]
+    if spec.decimal_separator != ".":
+        return F.concat_ws(spec.delimiter, *[csv_cell(c, spec) for c in raw])
+    line = F.concat_ws(spec.delimiter, *[_guarded(c) for c in raw])
+    if not q:
+        return _one_line(line)
+    spare = F.length(line) - F.length(F.replace(line, F.lit(spec.delimiter), F.lit("")))
+    plain = ~line.contains(q) & ~line.contains("\n") & ~line.contains("\r") & (spare == len(columns) - 1)
+    careful = F.array_join(F.transform(F.array(*raw), lambda c: csv_cell(c, spec)), spec.delimiter)
+    return F.when(plain, line).otherwise(careful)
 
 
 def csv_header(columns: list[str], spec: CsvSpec) -> Column:

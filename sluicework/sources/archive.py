@@ -123,7 +123,7 @@ def scan(spark: SparkSession, src: ArchiveSource) -> DataFrame:
     t = src.text
     heads = member_headers(spark, src) if t.header_line > 0 else None
     rows = member_lines(spark, src).withColumn("value", F.col("raw").cast("string")).drop("raw")
-    rows = rows.filter(F.col("_line") > t.header_line).withColumns(
+    rows = rows.filter((F.col("_line") > t.header_line) & (F.trim("value") != "")).withColumns(
         {
             "_record_num": F.col("_line") - t.header_line,
             "_stem": _stem(F.col("_file"), src.entry_pattern),

@@ -20,7 +20,7 @@ def field_at(i: int, decimal_separator: str = "."):
 
 
 def clean_field(c, decimal_separator: str = "."):
-    c = F.coalesce(F.trim(c, F.lit(" ")), F.lit(""))
+    c = F.coalesce(F.trim(c), F.lit(""))
     return c if decimal_separator == "." else normalise_decimal(c, decimal_separator)
 
 

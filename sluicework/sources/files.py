@@ -35,6 +35,16 @@ def list_files(spark: SparkSession, path, suffix: str) -> DataFrame:
     return files.select(F.col("_metadata.file_path").alias("path"), "length")
 
 
+def split_bound(spark: SparkSession, path, suffix: str) -> int:
+    """An upper bound of the splits a scan makes, from file sizes alone."""
+    size = int(spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
+        spark.conf.get("spark.sql.files.maxPartitionBytes")))
+    r = list_files(spark, path, suffix).agg(F.count(F.lit(1)).alias("n"), F.sum(F.ceil(F.col("length") / size)).alias("s"))
+    row = r.collect()[0]
+    cores = spark.sparkContext.defaultParallelism
+    return int((row.s or 0) + row.n + 4 * cores)
+
+
 def spread(files: DataFrame, spark: SparkSession, *keys: str) -> DataFrame:
     """Give independent files independent tasks."""
     return files.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1), *keys)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.values import canonical_text
-from .files import glob_for
+from .files import glob_for, split_bound
 from .text import _stem, file_name, number_lines
 
 NESTED = ("struct", "array", "map")
@@ -54,7 +54,8 @@ def scan(spark: SparkSession, src: JsonSource) -> DataFrame:
     ]
     rows = raw.select(*[F.col(f"`{c}`") for c in names], *provenance)
     if src.record_numbers:
-        rows = number_lines(rows).withColumnRenamed("_line", "_record_num")
+        bound = split_bound(spark, src.path, src.suffix)
+        rows = number_lines(rows, bound).withColumnRenamed("_line", "_record_num")
     kinds = {f.name: f.dataType.typeName() for f in seen.fields}
     out = []
     for c in names:

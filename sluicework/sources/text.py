@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import session_conf
-from .columns import name_columns, profile
-from .files import glob_for, list_files, open_random, spread
+from .columns import clean_field, last_positions, name_columns, profile
+from .files import glob_for, list_files, open_random, split_bound, spread
 
+MAX_BROADCAST_SPLITS = 400_000  # about 60 MB of paths and offsets
 QUOTES = {"double": '"', "single": "'", "none": ""}
 
 # Encodings whose web name differs from the codec's, and those the JVM lacks.
@@ -144,7 +145,7 @@ def lines(spark: SparkSession, path, suffix: str, record_numbers: bool = True) -
         )
     )
     if record_numbers:
-        raw = number_lines(raw)
+        raw = number_lines(raw, split_bound(spark, path, suffix))
     return strip_lines(raw, suffix, record_numbers)
 
 
@@ -178,12 +179,18 @@ def _stem(name: Column, suffix: str) -> Column:
     return F.left(name, F.length(name) - len(suffix)) if suffix else name
 
 
-def number_lines(raw: DataFrame) -> DataFrame:
+def _bounded(table: DataFrame, rows: int) -> DataFrame:
+    """Broadcast a table whose row count is known to be small; otherwise leave the choice to Spark."""
+    return F.broadcast(table) if rows <= MAX_BROADCAST_SPLITS else table
+
+
+def number_lines(raw: DataFrame, splits_at_most: int) -> DataFrame:
     """Exact line numbers without moving or sorting the lines.
 
     One row per file split is enough: how many lines it holds and the id of its
     first line. A running total over the splits of a file turns the ids into line
-    numbers. The join is on the split, so no group is larger than one split.
+    numbers. That table is broadcast while its known size allows, so the lines are
+    not shuffled; beyond that the join is on the split, no group larger than one.
     """
     splits = raw.groupBy("_path", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
     before = Window.partitionBy("_path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
@@ -192,6 +199,7 @@ def number_lines(raw: DataFrame) -> DataFrame:
         F.col("_block").alias("_sb"),
         (F.coalesce(F.sum("_n").over(before), F.lit(0)) + 1 - F.col("_first")).alias("_shift"),
     )
+    base = _bounded(base, splits_at_most)
     joined = raw.join(base, (raw["_path"] == base["_sp"]) & (raw["_block"] == base["_sb"]))
     return joined.withColumn("_line", F.col("_mid") + F.col("_shift")).drop("_sp", "_sb", "_shift")
 
@@ -236,20 +244,50 @@ def parse_rows(spark, rows: DataFrame, heads: DataFrame | None, src: TextSource)
 
 
 def scan(spark: SparkSession, src: TextSource) -> DataFrame:
-    """All matching files as one table of text columns with provenance."""
+    """All matching files as one table of text columns with provenance. Blank lines are no records."""
     heads = headers(spark, src) if src.header_line > 0 else None
+    if not src.record_numbers and src.encoding == "utf-8" and src.header_line <= 1:
+        seen = profile(heads) if heads is not None else None
+        if seen is None or seen.kinds <= 1:
+            return native_scan(spark, src, seen)
     need = src.record_numbers or src.header_line > 1
     rows = lines(spark, src.path, src.suffix, need)
     if need:
         rows = rows.filter(F.col("_line") > src.header_line).withColumn("_record_num", F.col("_line") - src.header_line)
     elif src.header_line == 1:
-        rows = skip_first_line(rows)
+        rows = skip_first_line(rows, split_bound(spark, src.path, src.suffix))
+    rows = rows.filter(F.trim("value") != "")
     out = parse_rows(spark, rows.withColumn("_sheet", F.lit("")), heads, src)
     gone = [c for c in ("_line", "_mid", "_block", "_path") if c in out.columns]
     return out.drop(*gone)
 
 
-def skip_first_line(rows: DataFrame) -> DataFrame:
+def native_scan(spark: SparkSession, src: TextSource, seen) -> DataFrame:
+    """One pass with Spark's own reader: it drops header lines and parses only the columns in use."""
+    width = max(seen.width if seen else 0, src.width or 0)
+    if width == 0:
+        raise ValueError("a headerless source needs its width")
+    raw = (
+        spark.read.format("csv")
+        .schema(", ".join(f"c{i} string" for i in range(width)))
+        .options(sep=src.delimiter, quote=QUOTES[src.quote], escape=QUOTES[src.quote] or "\\", header=str(src.header_line == 1).lower(),
+                 enforceSchema="true", mode="PERMISSIVE", multiLine="false", lineSep="\n", maxColumns=str(max(width + 1, 20480)),
+                 pathGlobFilter=glob_for(src.suffix))
+        .load(src.path)
+    )
+    last = F.col(f"c{width - 1}")
+    cells = [F.col(f"c{i}") for i in range(width - 1)] + [F.when(last.endswith("\r"), F.rtrim(last, F.lit("\r"))).otherwise(last)]
+    name = file_name()
+    at = last_positions(seen.sample) if seen else {}
+    names = [c for c in (src.columns if src.columns is not None else at) if c in at]
+    return raw.select(
+        name.alias("_file"), _stem(name, src.suffix).alias("_stem"), F.lit("").alias("_sheet"),
+        F.array(*[F.coalesce(c, F.lit("")) for c in cells]).alias("_fields"),
+        *[clean_field(cells[at[n]], src.decimal_separator).alias(n) for n in names],
+    )
+
+
+def skip_first_line(rows: DataFrame, splits_at_most: int) -> DataFrame:
     """Drop line 1 of every file when nobody asked for record numbers.
 
     The first line of a file is the one with the smallest id in its first split:
@@ -257,5 +295,5 @@ def skip_first_line(rows: DataFrame) -> DataFrame:
     """
     top = rows.filter("_block = 0").groupBy("_path").agg(F.min("_mid").alias("_top"))
     top = top.select(F.col("_path").alias("_tp"), "_top")
-    joined = rows.join(top, rows["_path"] == top["_tp"], "left")
+    joined = rows.join(_bounded(top, splits_at_most), rows["_path"] == top["_tp"], "left")
     return joined.filter("_top IS NULL OR _mid <> _top").drop("_tp", "_top")

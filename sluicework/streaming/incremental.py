@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..plans.template import Template
 from ..sinks.cells import CsvSpec
 from ..sinks.writers import write_per_file
-from ..sources.files import glob_for, list_files
+from ..sources.files import glob_for, list_files, split_bound
 from ..sources.text import TextSource, _stem, file_name, headers, number_lines, parse_rows, strip_lines
 
 
@@ -41,9 +41,10 @@ def convert_new(
 
     def one(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        rows = number_lines(batch.withColumn("_mid", F.monotonically_increasing_id()))
+        numbered = batch.withColumn("_mid", F.monotonically_increasing_id())
+        rows = number_lines(numbered, split_bound(session, src.path, src.suffix))
         rows = strip_lines(rows, src.suffix, True)
-        rows = rows.filter(F.col("_line") > src.header_line).withColumns(
+        rows = rows.filter((F.col("_line") > src.header_line) & (F.trim("value") != "")).withColumns(
             {"_record_num": F.col("_line") - src.header_line, "_sheet": F.lit("")}
         )
         heads = None
