@@ -8,7 +8,8 @@ from .. import functions as fn
 from ..operators.provenance import with_provenance
 from ..operators.reshape import harmonised, union_all, unpivot
 from ..plans.template import Rule, Template
-from .base import GOODS_SQL, SALES_SQL, digits, goods, query, sales
+from ..functions.sqlfuncs import register_sql
+from .base import GOODS_SQL, ITEMS_SQL, SALES_SQL, digits, goods, items, query, sales
 
 f = fn.field
 D = digits
@@ -161,3 +162,15 @@ def _(spark, sf):
         "amount": harmonised(f("Amount"), fn.replace(f("value"), " ", "", ",", ".")) * 1,
     }, {"id": "id", "date": "date", "amount": "amount"})
     return t.run(both).output()
+
+
+@query("p_01_sql_functions", f"WITH items AS ({ITEMS_SQL}) SELECT k, ln, {D('cents * q')} AS gross, CASE WHEN flag = 'R' THEN 'back' ELSE flag END AS kind, "
+       "CASE WHEN ln = 3 THEN 'bad' WHEN ln IN (4, 5) THEN '1' ELSE " + D("cents + 100") + " END AS lenient, CAST(year(d) AS VARCHAR) AS y FROM items")
+def _(spark, sf):
+    """The same functions from SQL text."""
+    register_sql(spark)
+    items(spark, sf).createOrReplaceTempView("sw_items")
+    return spark.sql(
+        """SELECT k, ln, sw_times(plain, qty) AS gross, sw_if(sw_eq(flag, 'R'), 'x', 'y') AS unused, sw_case(flag, 'R', 'back', flag) AS kind,
+           sw_iferror(sw_add(dirty, '1'), 'bad') AS lenient, sw_year(ship) AS y FROM sw_items"""
+    ).drop("unused")

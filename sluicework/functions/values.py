@@ -27,6 +27,7 @@ TEXT, NUMBER, INTEGER, BOOLEAN = "text", "number", "integer", "boolean"
 NON_FINITE = r"^[ \t\r\n]*[+-]?(?i:nan|inf|infinity)[ \t\r\n]*$"
 GROUPED = r"^-?[0-9]{1,3}(,[0-9]{3})+(\.[0-9]+)?$"
 EXPONENT = r"^(?!0[0-9])[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)[eE][+-]?[0-9]{1,4}$"
+ZERO = r"^(0|[+-]0*)?\.0*$"
 TRIMMABLE = r"^(?!0[0-9])[+-]?([0-9]{1,26}\.[0-9]*|\.[0-9]+)$"
 BLANKS = " \t\r\n"
 
@@ -224,15 +225,15 @@ def canonical_text(s: Column) -> Column:
     """
     # '+' to '9' as first byte: one comparison keeps most texts away from the patterns
     numeric = (s >= "+") & (s < ":")
-    trimmed = F.rtrim(s, F.lit("0"))
-    trimmed = F.when(trimmed.endswith("."), F.left(trimmed, F.length(trimmed) - 1)).otherwise(trimmed)
-    plain = F.when(trimmed.rlike(r"^[+-]?0*$"), F.lit("0")).otherwise(trimmed)
+    trimmed = (
+        F.when(s.rlike(ZERO), F.lit("0")).when(s.rlike(TRIMMABLE), F.regexp_replace(s, r"\.?0*$", "")).otherwise(s)
+    )
     return (
-        F.when(
-            numeric & (s.endswith("0") | s.endswith(".")) & s.contains(".") & s.rlike(TRIMMABLE),
-            plain,
+        F.when(numeric & (s.endswith("0") | s.endswith(".")) & s.contains("."), trimmed)
+        .when(
+            numeric & (s.contains("e") | s.contains("E")) & s.rlike(EXPONENT),
+            F.coalesce(num_to_text(s.try_cast(NUM)), s),
         )
-        .when(numeric & (s.contains("e") | s.contains("E")) & s.rlike(EXPONENT), F.coalesce(num_to_text(s.try_cast(NUM)), s))
         .otherwise(s)
     )
 
@@ -282,9 +283,15 @@ _SQL_DIVISION = {
 
 
 def register_functions(spark) -> None:
-    """Create the session's exact multiply and divide once."""
+    """Prepare a session once: exact multiply and divide, and a limit on generated methods.
+
+    The JVM does not compile methods beyond 8000 bytes of bytecode, and wide
+    conversions reach that. With the limit Spark splits them into small methods.
+    """
     if getattr(spark, "_sluicework_ready", False):
         return
+    if spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "65535":
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     with session_conf(spark, {"spark.sql.decimalOperations.allowPrecisionLoss": "false"}):
         for name in ("sw_whole", "sw_rest", "sw_mul"):
             spark.sql(_SQL_FUNCTIONS[name])
