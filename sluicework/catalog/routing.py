@@ -168,7 +168,7 @@ def _(spark, sf):
        "CASE WHEN ln = 3 THEN 'bad' WHEN ln IN (4, 5) THEN '1' ELSE " + D("cents + 100") + " END AS lenient, CAST(year(d) AS VARCHAR) AS y FROM items")
 def _(spark, sf):
     """The same functions from SQL text."""
-    register_sql(spark)
+    register_sql(spark, {"if", "eq", "case", "iferror", "add", "year"})
     items(spark, sf).createOrReplaceTempView("sw_items")
     return spark.sql(
         """SELECT k, ln, sw_times(plain, qty) AS gross, sw_if(sw_eq(flag, 'R'), 'x', 'y') AS unused, sw_case(flag, 'R', 'back', flag) AS kind,

@@ -53,11 +53,13 @@ def _body(spark, col) -> str:
     return plan.expressions().head().child().sql()
 
 
-def register_sql(spark: SparkSession, prefix: str = "sw_") -> list[str]:
-    """Create the functions in the session; arguments and results are text. Returns the names."""
+def register_sql(spark: SparkSession, names=None, prefix: str = "sw_") -> list[str]:
+    """Create the functions (all, or the named ones); arguments and results are text. Returns the names."""
     register_functions(spark)
     made = []
     for name, (build, n) in _catalogue().items():
+        if names is not None and name not in names:
+            continue
         args = _NUMERIC_TEXT[:n]
         body = _body(spark, text(build(*[val(F.col(a)) for a in args])))
         params = ", ".join(f"{a} STRING" for a in args)

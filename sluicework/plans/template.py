@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.values import TEXT, Val, canonical, canonical_text, register_functions, text, val
+from ..functions.values import TEXT, Val, canonical_text, register_functions, text, val
 from ..operators.daterange import in_range
 from ..operators.lookup import Lookup, Lookups, build_side, entries, probe
 from ..operators.provenance import prepare
@@ -115,8 +115,8 @@ class Run:
         early = t.date_range is not None and not self._date_override()
         rule = rule_index(t.rules)
         if early:
-            date = F.coalesce(canonical(t.variables[t.date_range]), F.lit(""))
-            df = df.withColumn("_date_ok", in_range(date, F.col("_stem")))
+            df = _with_date(df, "_date", text(t.variables[t.date_range]))
+            df = df.withColumn("_date_ok", in_range(F.col("_date"), F.col("_stem"))).drop("_date")
             rule = F.when(F.col("_date_ok"), rule)
         df = df.withColumn("_rule", rule)
         n = emit_count(t.rules, F.col("_rule"))
@@ -133,8 +133,9 @@ class Run:
         else:
             df = df.withColumn("_emit_pos", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
         if t.date_range is not None and self._date_override():
-            date = choose(t.rules, t.date_range, t.variables.get(t.date_range), F.col("_rule"), F.col("_emit_pos"), canonical)
-            df = df.withColumn("_date_ok", in_range(F.coalesce(date, F.lit("")), F.col("_stem")))
+            date = choose(t.rules, t.date_range, t.variables.get(t.date_range), F.col("_rule"), F.col("_emit_pos"), text)
+            df = _with_date(df, "_date", date)
+            df = df.withColumn("_date_ok", in_range(F.col("_date"), F.col("_stem"))).drop("_date")
         return df
 
     def _kept(self) -> DataFrame:
@@ -235,13 +236,15 @@ class Run:
         """Rows in, rows out, drops by reason and counted errors per file, in one pass."""
         t = self.template
         rule = F.col("_rule")
+        df = self.routed()
         if t.date_range is not None and self._date_override():
             flags = None
             for i, r in enumerate(t.rules):
                 hits = F.lit(0)
                 for p in range(len(r.rows)):
                     v = r.rows[p].get(t.date_range, t.variables.get(t.date_range))
-                    hits = hits + in_range(F.coalesce(canonical(v), F.lit("")), F.col("_stem")).cast("int")
+                    df = _with_date(df, f"_date_{i}_{p}", text(v))
+                    hits = hits + in_range(F.col(f"_date_{i}_{p}"), F.col("_stem")).cast("int")
                 flags = F.when(rule == i, hits) if flags is None else flags.when(rule == i, hits)
             emitted = flags.otherwise(F.lit(0)) if flags is not None else F.lit(0)
         else:
@@ -251,7 +254,7 @@ class Run:
             base = t.variables.get(n)
             if base is not None and base.const is None:
                 failed = failed + (base_used(t.rules, n, rule) & base.col.isNull()).cast("int")
-        df = self.routed()
+
         def count(reason):
             return F.sum((F.col("_reason") == reason).cast("bigint"))
 
@@ -274,6 +277,11 @@ class Run:
         return total.withColumn("document", F.to_json(F.struct("template", "files", *names)))
 
 
+def _with_date(df: DataFrame, name: str, date: Column) -> DataFrame:
+    """A date text as its own column first: the range test reads it several times."""
+    return df.withColumn(name, date).withColumn(name, F.coalesce(canonical_text(F.col(name)), F.lit("")))
+
+
 def _settled(v: Val) -> bool:
     """A literal whose canonical text is itself."""
     return isinstance(v.const, str) and not any(ch.isdigit() or ch == "." for ch in v.const)
