@@ -127,6 +127,7 @@ def _(spark, sf):
     nothing = spark.createDataFrame([], "_stem string")
     new = pending(spark, src, nothing)
     left = pending(spark, src, new.select("_stem"))
-    return left.agg(F.count("*").alias("before_run")).crossJoin(F.broadcast(new.agg((F.count("*") > 0).alias("all_new"))))
+    both = new.select(F.lit(1).alias("fresh"), F.lit(0).alias("open")).unionByName(left.select(F.lit(0).alias("fresh"), F.lit(1).alias("open")))
+    return both.agg(F.sum("open").alias("before_run"), (F.sum("fresh") > 0).alias("all_new"))
 
 

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from .dateformat import Parsed, render
 from .text import _int
-from .values import BOOLEAN, NUM, TEXT
-from .values import derive, num, optional_number, text, text_arg, val
+from .values import BOOLEAN, TEXT
+from .values import derive, optional_number, text_arg, val
 
 ISO = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([ T][0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?([Zz]|[+-][0-9]{2}:[0-9]{2})?)?$"
 MAX_DAYS = 3_652_500
@@ -264,5 +264,5 @@ def is_dst(t, zone):
 __all__ = [
     "date_convert", "date_trunc", "dateadd", "datediff", "day", "eomonth", "hour", "is_date", "is_dst", "minute",
     "month", "now", "nth_dow", "quarter", "second", "to_utc", "tz_convert", "tz_offset", "weekday", "weeknum",
-    "workday", "year", "NUM", "num", "text",
+    "workday", "year",
 ]

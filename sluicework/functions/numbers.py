@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
-from .values import BLANKS, INTEGER, NUM, NUMBER, TEXT
+from .values import INTEGER, NUM, NUMBER, TEXT
 from .values import add, derive, div, mul, num, optional_number, sub, text_arg, val, vals
 
 MAX_EXPONENT = 1024
@@ -198,5 +198,5 @@ def rand(n):
 
 __all__ = [
     "abs_", "add", "ceiling", "div", "floor", "greatest", "least", "mod", "mround", "mul", "power",
-    "price_currency", "price_value", "rand", "round_", "sign", "sqrt", "sub", "trunc", "BLANKS",
+    "price_currency", "price_value", "rand", "round_", "sign", "sqrt", "sub", "trunc",
 ]

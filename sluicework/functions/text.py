@@ -9,7 +9,7 @@ from functools import lru_cache
 
 from pyspark.sql import functions as F
 
-from .values import BLANKS, BOOLEAN, INTEGER, NUMBER, TEXT
+from .values import BLANKS, BOOLEAN, INTEGER, TEXT
 from .values import derive, num, parse_number, text_arg, val
 
 MAX_PAD = 65535
@@ -214,9 +214,6 @@ def rpad(s, n, pad):
 
 # ---------------------------------------------------------------- regular expressions
 
-_FORBIDDEN = re.compile(r"\(\?(?:[=!>]|<[=!])|\\[1-9]|[*+?}]\+")
-
-
 def java_pattern(p: str) -> str:
     """Check an RE2-style pattern and spell it for the JVM.
 
@@ -373,5 +370,5 @@ def regex_replace(s, pattern, repl):
 
 __all__ = [
     "contains", "ends_with", "left", "len_", "lower", "lpad", "position", "proper", "regex_extract", "regex_match",
-    "regex_replace", "right", "rpad", "split_part", "starts_with", "substr", "trim", "unaccent", "upper", "NUMBER",
+    "regex_replace", "right", "rpad", "split_part", "starts_with", "substr", "trim", "unaccent", "upper",
 ]

@@ -83,9 +83,6 @@ def probe(df: DataFrame, build: DataFrame, key: Val, prefix: str, scope=("_file"
 
 def keyed_join(fact: DataFrame, dim: DataFrame, fact_key: Val, lookup: Lookup, prefix="dim") -> DataFrame:
     """Two tables joined directly: the last dimension row per key wins, misses answer ''."""
-    from .provenance import PROVENANCE
-
-    dim = dim if all(c in dim.columns for c in PROVENANCE) else dim
     side = build_side(dim, lookup, scope=())
     out = probe(fact, side, fact_key, prefix, scope=())
     return out.withColumns({f"{prefix}_{n}": F.coalesce(F.col(f"`{prefix}_{n}`"), F.lit("")) for n in lookup.values})
