@@ -41,17 +41,17 @@ def save(path: str, body: bytes) -> None:
 
 
 def export(spark, df, label, make, ext):
-    """One container file per task, named by the task so a retry overwrites itself."""
+    """Container files of one batch of rows each, named by task and batch so a retry overwrites itself."""
     path = scratch_dir(spark, label)
 
     def write(batches):
-        pdf = pd.concat(list(batches), ignore_index=True)
-        if len(pdf):
-            save(f"{path}/part-{TaskContext.get().partitionId():05d}{ext}", make(pdf))
-        yield pd.DataFrame({"n": [len(pdf)]})
+        task = TaskContext.get().partitionId()
+        for i, pdf in enumerate(batches):
+            if len(pdf):
+                save(f"{path}/part-{task:05d}-{i:05d}{ext}", make(pdf))
+                yield pd.DataFrame({"n": [len(pdf)]})
 
-    n = max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    df.repartition(n).mapInPandas(write, "n long").agg(F.sum("n")).collect()
+    df.repartition(spark.sparkContext.defaultParallelism).mapInPandas(write, "n long").agg(F.sum("n")).collect()
     return path
 
 

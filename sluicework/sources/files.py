@@ -46,5 +46,8 @@ def split_bound(spark: SparkSession, path, suffix: str) -> int:
 
 
 def spread(files: DataFrame, spark: SparkSession, *keys: str) -> DataFrame:
-    """Give independent files independent tasks."""
-    return files.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1), *keys)
+    """Give independent files independent tasks; a local session needs no more than its cores can take."""
+    n = 2 * spark.sparkContext.defaultParallelism
+    if not spark.sparkContext.master.startswith("local"):
+        n = max(n, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return files.repartition(n, *keys)
