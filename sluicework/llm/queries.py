@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .decontamination import contaminated, contamination
 from .exact import exact_duplicates
+from .packing import pack
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,3 +44,26 @@ _LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcde
 def op3_exact_dedup(spark, sf_dir):
     """Copies after lower-casing A-Z, by chunk recipes."""
     return exact_duplicates(table(spark, sf_dir, "documents")).drop("n_chunks")
+
+
+@query()
+def op10_decontamination(spark, sf_dir):
+    """Words of each document inside benchmark windows."""
+    found = contamination(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        contaminated().alias("contaminated"),
+    )
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query()
+def op9_packing(spark, sf_dir):
+    """All documents in sequences of at most 4096 tokens."""
+    pieces = pack(table(spark, sf_dir, "documents"), tokenizer_path())
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
