@@ -46,7 +46,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         rows.select("id", F.sha2(F.col("t").cast("binary"), 256).alias("text_sha256"), F.transform(chunks(F.col("t")), item).alias("recipe")), "recipes"
     )
     recipes = recipes.withColumn("digest", F.xxhash64("recipe"))
-    again = recipes.groupBy("digest").count().where("count > 1").select("digest")
+    # Written, so that each side of the join is an exchange of its own and a hot key can be split.
+    again = written(recipes.groupBy("digest").count().where("count > 1").select("digest"), "digests")
     twice = written(recipes.join(again, "digest", "left_semi").select("id").distinct(), "candidates")
     moved = rows.join(small(twice, 16), "id", "left_semi").union(rows.where("id IS NULL"))
     moved = moved.select(F.sha2(F.col("t").cast("binary"), 256).alias("text_sha256"), "t")
@@ -60,7 +61,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     checked = F.transform("recipe", lambda c, i: F.struct(c.key.alias("key"), c.n.alias("n"), F.coalesce(F.try_element_at("marks", i), F.lit("")).alias("sha")))
     full = full.select("id", "text_sha256", F.when(F.col("marks").isNull(), plain).otherwise(checked).alias("list"))
     full = full.withColumn("digest", F.xxhash64("list"))
-    groups = full.groupBy("digest", "list").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
+    groups = written(full.groupBy("digest", "list").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size")), "groups")
     return full.join(groups, ["digest", "list"]).select(
         F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", F.size("list").cast("long").alias("n_chunks")
     )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .decontamination import contaminated, contamination
 from .exact import exact_duplicates
 from .packing import pack
+from .substrings import repeated_passages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -67,3 +68,9 @@ def op9_packing(spark, sf_dir):
     """All documents in sequences of at most 4096 tokens."""
     pieces = pack(table(spark, sf_dir, "documents"), tokenizer_path())
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query()
+def op8_substring_dedup(spark, sf_dir):
+    """Words of passages that a document with a smaller id holds too."""
+    return repeated_passages(table(spark, sf_dir, "documents")).drop("spans")
