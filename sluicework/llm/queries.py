@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .decontamination import contaminated, contamination
 from .exact import exact_duplicates
+from .minhash import near_duplicates
 from .packing import pack
 from .substrings import repeated_passages
 
@@ -74,3 +75,9 @@ def op9_packing(spark, sf_dir):
 def op8_substring_dedup(spark, sf_dir):
     """Words of passages that a document with a smaller id holds too."""
     return repeated_passages(table(spark, sf_dir, "documents")).drop("spans")
+
+
+@query()
+def op2_minhash_near_dedup(spark, sf_dir):
+    """Components of documents at a similarity of 0.75 on five-word shingles."""
+    return near_duplicates(table(spark, sf_dir, "documents"))
