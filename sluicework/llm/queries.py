@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat import format_conversations, read_back, text_part
 from .decontamination import contaminated, contamination
 from .exact import exact_duplicates
 from .minhash import near_duplicates
 from .packing import pack
+from .quality import learn, score
 from .substrings import repeated_passages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +83,27 @@ def op8_substring_dedup(spark, sf_dir):
 def op2_minhash_near_dedup(spark, sf_dir):
     """Components of documents at a similarity of 0.75 on five-word shingles."""
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op6_chat_formatting(spark, sf_dir):
+    """Every conversation formatted, and read back from the formatted string."""
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").union(more)
+    return read_back(format_conversations(turns.withColumn("parts", text_part(F.col("text")))))
+
+
+def held_out(doc_id) -> F.Column:
+    return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
+
+
+@query()
+def op7_quality_classifier(spark, sf_dir):
+    """Quality of every document; labels of the rows held out are never read."""
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(~F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
+    scored = score(spark, docs, learn(docs, labels))
+    return scored.select(
+        "doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
