@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .chat import format_conversations, read_back, text_part
 from .decontamination import contaminated, contamination
 from .exact import exact_duplicates
+from .html import extract
 from .minhash import near_duplicates
 from .packing import pack
 from .quality import learn, score
@@ -107,3 +108,9 @@ def op7_quality_classifier(spark, sf_dir):
     return scored.select(
         "doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
+
+
+@query()
+def op4_html_extraction(spark, sf_dir):
+    """Main text of every page."""
+    return extract(spark, table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
