@@ -11,9 +11,11 @@ from .chat import format_conversations, read_back, text_part
 from .decontamination import contaminated, contamination
 from .exact import exact_duplicates
 from .html import extract
+from .language import address_code, host_of, identify, language_code, learn_letters
 from .minhash import near_duplicates
 from .packing import pack
 from .quality import learn, score
+from .secrets import scan
 from .substrings import repeated_passages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,11 +69,14 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def packed_pieces(pieces: DataFrame) -> DataFrame:
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 @query()
 def op9_packing(spark, sf_dir):
     """All documents in sequences of at most 4096 tokens."""
-    pieces = pack(table(spark, sf_dir, "documents"), tokenizer_path())
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return packed_pieces(pack(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
 @query()
@@ -114,3 +119,27 @@ def op7_quality_classifier(spark, sf_dir):
 def op4_html_extraction(spark, sf_dir):
     """Main text of every page."""
     return extract(spark, table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+@query()
+def op1_language_id(spark, sf_dir):
+    """Language of every document: its letters, the declared language, its source's prior."""
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs, ["doc_id"], declared=F.col("lang"), host=F.col("source"))
+
+
+@query()
+def llm_page_languages(spark, sf_dir):
+    """Language of every page: its letters, the lang attribute, the address and the host; letters learnt from documents."""
+    docs = table(spark, sf_dir, "documents")
+    letters = learn_letters(docs, "text", language_code(F.col("lang")))
+    pages = table(spark, sf_dir, "pages")
+    bare = F.regexp_replace("html", "(?is)<script.*?</script>|<style.*?</style>|<[^>]*>|&[a-z]+;?", " ")
+    lang = F.regexp_extract("html", "(?i)<html[^>]*\\slang\\s*=\\s*[\"']?([a-zA-Z-]+)", 1)
+    return identify(pages.withColumn("bare", bare), ["page_id"], "bare", lang, address_code(F.col("url")), host_of(F.col("url")), letters)
+
+
+@query()
+def op5_secret_scan(spark, sf_dir):
+    """Every candidate of every document, with the forest's verdict."""
+    return scan(spark, table(spark, sf_dir, "documents"))
