@@ -1,0 +1,221 @@
+"""Decontamination, packing, quality, language and secrets on small documents."""
+
+import random
+import zlib
+
+import fixtures as fx
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+from sluicework.llm import packing, quality
+from sluicework.llm.decontamination import Index, contaminated, contamination
+from sluicework.llm.language import address_code, host_of, identify, language_code
+from sluicework.llm.queries import tokenizer_path
+from sluicework.llm.secrets import candidates, labelled_findings, scan, train
+from sluicework.llm.tables import written
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return written(spark.createDataFrame(fx.documents(), fx.SCHEMA).repartition(5), "test")
+
+
+def pairs(df):
+    return [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
+
+
+# --- decontamination
+
+
+def test_index_counts_and_places():
+    rng = np.random.default_rng(2)
+    runs = [np.append(rng.integers(0, 4, rng.integers(1, 60)), -1) for _ in range(40)]
+    text = np.concatenate(runs)
+    index = Index(text, 4)
+    for size in (1, 2, 5, 9):
+        phrases = np.array([rng.integers(0, 4, size) for _ in range(50)])
+        low, high = index.search(phrases)
+        for p, a, b in zip(phrases, low, high, strict=True):
+            want = [i for i in range(len(text) - size + 1) if (text[i : i + size] == p).all()]
+            assert sorted(index.locate(np.arange(a, b)).tolist()) == want
+
+
+@pytest.mark.parametrize("shard,block", [(4 << 20, 4 << 20), (3000, 400)])
+def test_contamination(spark, docs, shard, block):
+    rows = pairs(docs)
+    texts = [t for _, t in rows if t and len(t.split()) > 30]
+    items = [(i, " ".join(t.split()[i % 7 : i % 7 + 10 + i])) for i, t in enumerate(texts[:20])]
+    items += [(50, None), (51, "!!"), (52, "one"), (53, "a b"), (None, " ".join(texts[3].split()[:20])), (7, texts[5][:200]), (7, texts[5][:200])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = contamination(spark, docs, bench, shard_bytes=shard, block_bytes=block)
+    assert sorted(((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in got.collect()), key=fx.key) == sorted(fx.contamination(rows, items), key=fx.key)
+    assert got.where(F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["first"]) != F.col("n_hit")).count() == 0
+    assert 0 < got.where(contaminated()).count() < len(rows)
+
+
+def test_contamination_empty(spark, docs):
+    bench = spark.createDataFrame([], "item_id long, text string")
+    assert contamination(spark, docs, bench).agg(F.sum("n_hit")).first()[0] == 0
+    assert contamination(spark, docs.limit(0), bench).count() == 0
+
+
+# --- packing
+
+
+def check_sequences(rows, counts):
+    """Every id once, no overlap or gap in a sequence, at most 4096."""
+    covered, sequences = {}, {}
+    for r in rows:
+        covered.setdefault(r.doc_id, []).append((r.start, r.length))
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in sequences.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at and length > 0
+            at += length
+        assert at <= 4096
+    for d, n in counts.items():
+        at = 0
+        for start, length in sorted(covered[d]):
+            assert start == at
+            at += length
+        assert at == n
+    return len(sequences)
+
+
+def test_pack(docs):
+    from tokenizers import Tokenizer
+
+    named = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    rows = packing.pack(named, tokenizer_path(), group_docs=40).collect()
+    whole = Tokenizer.from_file(tokenizer_path())
+    ids = {d: np.array(whole.encode(t or "", add_special_tokens=False).ids + [2], "<u4").tobytes() for d, t in pairs(named)}
+    check_sequences(rows, {d: len(x) // 4 for d, x in ids.items()})
+    for r in rows:
+        assert bytes(r.ids) == ids[r.doc_id][4 * r.start : 4 * (r.start + r.length)]
+        assert r.doc_tokens == len(ids[r.doc_id]) // 4
+
+
+def test_pack_all_rows(docs):
+    assert packing.pack(docs, tokenizer_path()).agg(F.count_if(F.col("start") == 0)).first()[0] == docs.count()
+    assert packing.pack(docs.limit(0), tokenizer_path()).count() == 0
+
+
+def test_windows_are_near_equal():
+    rng = np.random.default_rng(1)
+    lengths = rng.integers(50, 1000, 1500)
+    at, k = packing.windows(lengths, 4096)
+    sums = np.bincount(at, weights=lengths, minlength=k)
+    assert sums.max() <= 4096 and sums.sum() / (k * 4096) > 0.985
+    assert packing.windows(np.array([4096, 4096, 1]), 4096)[1] == 3
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoder_equals_whole_texts(name):
+    encode = packing.Encoder(tokenizer_path(name))
+    rng = random.Random(4)
+    signs = "ab EÉßñ\n\t .,'#%1234’—<|> ́İſ日本\x1c\x85\x0b"
+    for _ in range(300):
+        text = "".join(rng.choice(signs) for _ in range(rng.randint(0, 60))) + rng.choice(["", "<|endoftext|>", " don't we'll "])
+        assert encode.ids(text.encode()) == encode.whole(text) + encode.end
+
+
+# --- quality
+
+
+def test_quality_held_out(spark):
+    """Rank accuracy on the rows whose labels are never read."""
+    from sluicework.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.1"
+    scored = QUERIES["op7_quality_classifier"](spark, sf)
+    rows = scored.join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").select("score", "quality", "doc_id").collect()
+    assert all(zlib.crc32(str(r.doc_id).encode()) % 3 == 1 for r in rows)
+    order = np.argsort(np.array([r.score for r in rows]))
+    y = np.array([r.quality for r in rows])[order]
+    good, bad = y.sum(), (1 - y).sum()
+    auc = (np.flatnonzero(y == 1).sum() - good * (good - 1) / 2) / (good * bad)
+    assert auc > 0.98
+
+
+def test_quality_cases(spark, docs):
+    model = quality.fit([b"a fine and well made text of words " * 5] * 9, [b"### $$$ %%% !!! " * 9] * 9)
+    rows = quality.score(spark, docs, model).collect()
+    assert len(rows) == docs.count() and all(0 <= r.score <= 1 for r in rows)
+    assert {r.difference for r in rows if r.doc_id == 0} == {0.0}
+    assert quality.score(spark, docs.limit(0), model).count() == 0
+    assert quality.fit([], []).score(np.zeros((1, 3))).tolist() == [0.5]
+    labels = spark.createDataFrame([(1, 1), (1, 0), (None, 1)], "doc_id long, quality int")
+    assert quality.learn(docs, labels).weights.tolist() == [0, 0, 0, 0]  # nothing that is labelled one way
+
+
+# --- language
+
+
+def test_language_of_documents(spark):
+    from sluicework.llm.queries import QUERIES
+
+    got = QUERIES["op1_language_id"](spark, "/root/testdata/sf0.01")
+    truth = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
+    assert got.join(truth, "doc_id").where("kept AND lang = language").count() == truth.count()
+
+
+def test_language_without_declaration(spark):
+    """The letters alone, and what a wrong declaration does against them."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    alone = identify(docs, ["doc_id"], label=F.col("lang"))
+    assert alone.join(docs, "doc_id").where("lang = language").count() > 0.98 * docs.count()
+    wrong = docs.withColumn("said", F.when(F.col("doc_id") % 10 == 0, F.lit("de")).otherwise(F.col("lang")))
+    misled = identify(wrong, ["doc_id"], declared=F.col("said"), label=F.col("lang"))
+    assert misled.join(docs, "doc_id").where("lang = language").count() > 0.98 * docs.count()
+
+
+def test_language_cases(spark, docs):
+    rows = identify(docs, ["doc_id"], declared=F.col("lang"), host=F.col("source")).collect()
+    assert len(rows) == docs.count()
+    odd = {r.doc_id: r for r in rows if r.doc_id in (0, 1, 2, 11)}
+    assert all(r.language == "und" and not r.kept for r in odd.values())
+    assert identify(docs.limit(0), ["doc_id"], declared=F.col("lang")).count() == 0
+    assert identify(docs.withColumn("lang", F.lit(None).cast("string")), ["doc_id"], declared=F.col("lang")).where("kept").count() == 0
+
+
+def test_address_parts(spark):
+    urls = [("https://www.a.example.fr/de/1", "/de", "a.example.fr"), ("http://b.org:80?x=1", ".org", "b.org"), ("nothing", None, None), (None, None, None)]
+    df = spark.createDataFrame([u[:1] for u in urls], "u string").select(address_code(F.col("u")), host_of(F.col("u")))
+    assert [tuple(r) for r in df.collect()] == [u[1:] for u in urls]
+    codes = spark.createDataFrame([("EN-us",), ("fr_FR",), ("",), ("x",), (None,)], "c string").select(language_code(F.col("c")))
+    assert [r[0] for r in codes.collect()] == ["en", "fr", None, None, None]
+
+
+# --- secrets
+
+
+def test_forest_on_findings_not_seen(spark):
+    model = train(labelled_findings(spark, 80).where(F.pmod(F.xxhash64("candidate"), F.lit(4)) > 0))
+    from sluicework.llm.secrets import FEATURES, described
+    from pyspark.ml.feature import VectorAssembler
+
+    rest = described(labelled_findings(spark, 80).where(F.pmod(F.xxhash64("candidate"), F.lit(4)) == 0))
+    told = model.transform(VectorAssembler(inputCols=FEATURES, outputCol="x").transform(rest))
+    assert told.where("prediction <> label").count() < 0.03 * told.count()
+
+
+def test_scan(spark, docs):
+    key = "f0ddae3b09ae356cbefecdd3232fa5489bb400d6"
+    texts = [
+        (1, f'run it\ntoken = "{key}" and more', "src0"), (2, f"see commit {key} for this", "src0"), (3, f'é token = "{key}" x api_key: "{key[::-1]}" y', None),
+        (4, None, None), (5, "", "a"), (1, f'run it\ntoken = "{key}" and more', "src0"),
+    ]
+    df = spark.createDataFrame(texts, "doc_id long, text string, source string")
+    model = train(labelled_findings(spark, 40))
+    rows = sorted(tuple(r) for r in scan(spark, df, model=model).select("doc_id", "number", "start", "candidate", "secret").collect())
+    assert rows == [(1, 0, 16, key, True), (1, 0, 16, key, True), (2, 0, 11, key, False), (3, 0, 11, key, True), (3, 1, 65, key[::-1], True)]
+    assert scan(spark, docs, model=model).select("doc_id").distinct().count() == candidates(docs).select("doc_id").distinct().count()
+    assert scan(spark, df.limit(0), model=model).count() == 0
+
+
+def test_scan_is_native(spark, docs):
+    plan = scan(spark, docs, model=train(labelled_findings(spark, 20)))._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "Exchange"))
