@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
-from .values import INTEGER, NUM, NUMBER, TEXT
+from .values import INTEGER, NUM, NUMBER, TEXT, _call
 from .values import add, derive, div, mul, num, optional_number, sub, text_arg, val, vals
 
 MAX_EXPONENT = 1024
@@ -20,7 +20,7 @@ CURRENCY_SIGNS = {"$": "USD", "€": "EUR", "£": "GBP", "¥": "JPY", "₽": "RU
 
 def abs_(x):
     x = val(x)
-    return derive(F.abs(num(x)), NUMBER, x)
+    return derive(_call("sw_abs", num(x)), NUMBER, x)
 
 
 def _digits(n, what: str) -> int | None:

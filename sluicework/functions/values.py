@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field as _field
-from decimal import ROUND_HALF_UP, Decimal
+from decimal import ROUND_HALF_UP, Context, Decimal
 from functools import reduce
 
 from pyspark.sql import Column
@@ -160,7 +160,10 @@ def parse_number(s: str) -> Decimal | None:
         s = s.replace(",", "")
     if not re.match(r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$", s):
         return None
-    d = Decimal(s.strip()).quantize(Decimal("1e-12"), rounding=ROUND_HALF_UP) if len(s) < 40 else Decimal(s.strip())
+    d = Decimal(s.strip())
+    if d.adjusted() >= 26:
+        return None
+    d = d.quantize(Decimal("1e-12"), rounding=ROUND_HALF_UP, context=Context(prec=60))
     return d if abs(d) < Decimal(10) ** 26 else None
 
 
@@ -249,17 +252,23 @@ def canonical(x) -> Column:
 # while full precision is switched on and keep that choice; their arguments are
 # bound once, so a nested formula stays linear in size.
 _SQL_FUNCTIONS = {
+    # Spark's own abs and minus round wide negative numbers to 34 digits.
+    "sw_neg": """
+      CREATE OR REPLACE TEMPORARY FUNCTION sw_neg(a DECIMAL(38,12)) RETURNS DECIMAL(38,12) RETURN 0 - a""",
+    "sw_abs": """
+      CREATE OR REPLACE TEMPORARY FUNCTION sw_abs(a DECIMAL(38,12))
+      RETURNS DECIMAL(38,12) RETURN CASE WHEN a < 0 THEN 0 - a ELSE a END""",
     "sw_mul": """
       CREATE OR REPLACE TEMPORARY FUNCTION sw_mul(a DECIMAL(38,12), b DECIMAL(38,12))
       RETURNS DECIMAL(38,12) RETURN coalesce(
         try_cast(try_multiply(try_cast(a AS DECIMAL(26,12)), try_cast(b AS DECIMAL(26,12))) AS DECIMAL(38,12)),
         try_cast(try_add(
           try_add(
-            try_cast(try_multiply(sw_whole(a), sw_whole(b)) AS DECIMAL(36,12)),
-            try_cast(try_multiply(sw_whole(a), sw_rest(b)) AS DECIMAL(36,12))),
+            try_cast(try_multiply(sw_whole(a), sw_whole(b)) AS DECIMAL(38,12)),
+            try_cast(try_multiply(sw_whole(a), sw_rest(b)) AS DECIMAL(38,12))),
           try_add(
-            try_cast(try_multiply(sw_rest(a), sw_whole(b)) AS DECIMAL(36,12)),
-            try_cast(try_multiply(sw_rest(a), sw_rest(b)) AS DECIMAL(36,12)))
+            try_cast(try_multiply(sw_rest(a), sw_whole(b)) AS DECIMAL(38,12)),
+            try_cast(try_multiply(sw_rest(a), sw_rest(b)) AS DECIMAL(38,12)))
         ) AS DECIMAL(38,12)))""",
     "sw_whole": """
       CREATE OR REPLACE TEMPORARY FUNCTION sw_whole(a DECIMAL(38,12))
@@ -269,16 +278,35 @@ _SQL_FUNCTIONS = {
       RETURNS DECIMAL(12,12) RETURN try_cast(a - sw_whole(a) AS DECIMAL(12,12))""",
 }
 # Division keeps Spark's default rule: 26 integer digits leave exactly 12 for the fraction,
-# so the quotient is rounded once.
+# so the quotient is rounded once. Operands that are too wide for that take long division:
+# whole units first, then the twelve digits of what is left; its sums keep full precision.
 _SQL_DIVISION = {
+    "sw_floor": """
+      CREATE OR REPLACE TEMPORARY FUNCTION sw_floor(a DECIMAL(38,12), b DECIMAL(38,12))
+      RETURNS DECIMAL(26,0) RETURN greatest(try_cast(floor(try_divide(a, b) - 0.000001) AS DECIMAL(26,0)), CAST(0 AS DECIMAL(26,0)))""",
+    "sw_near": """
+      CREATE OR REPLACE TEMPORARY FUNCTION sw_near(t DECIMAL(38,12), b DECIMAL(38,12), d DECIMAL(26,0))
+      RETURNS DECIMAL(26,0) RETURN try_cast(d + CASE
+        WHEN 2 * (t - sw_mul(d, b)) >= 3 * b THEN 2 WHEN 2 * (t - sw_mul(d, b)) >= b THEN 1 ELSE 0 END AS DECIMAL(26,0))""",
+    "sw_digits": """
+      CREATE OR REPLACE TEMPORARY FUNCTION sw_digits(r DECIMAL(38,12), b DECIMAL(38,12), s DECIMAL(13,0))
+      RETURNS DECIMAL(26,0) RETURN CASE
+        WHEN b < 10000000000000 THEN sw_near(sw_mul(r, 1000000000000), b, sw_floor(sw_mul(r, 1000000000000), b))
+        ELSE try_cast(1000000000000 * try_divide(try_cast(floor(r * s) AS DECIMAL(26,0)), try_cast(floor(b * s) AS DECIMAL(26,0))) AS DECIMAL(26,0)) END""",
+    "sw_long": """
+      CREATE OR REPLACE TEMPORARY FUNCTION sw_long(a DECIMAL(38,12), b DECIMAL(38,12), q DECIMAL(26,0))
+      RETURNS DECIMAL(38,12) RETURN try_cast(q + CAST(sw_digits(a - sw_mul(q, b), b,
+        try_cast(pow(10, greatest(0, 24 - floor(log10(CAST(b AS DOUBLE))))) AS DECIMAL(13,0))) AS DECIMAL(14,0)) * 0.000000000001BD AS DECIMAL(38,12))""",
     "sw_div": """
       CREATE OR REPLACE TEMPORARY FUNCTION sw_div(a DECIMAL(38,12), b DECIMAL(38,12))
       RETURNS DECIMAL(38,12) RETURN CASE
         WHEN abs(a) < 100000000000000 THEN try_divide(try_cast(a AS DECIMAL(26,12)), b)
         WHEN b = floor(b) AND abs(b) < 1000000000000000000 THEN try_divide(a, try_cast(b AS DECIMAL(18,0)))
-        WHEN b * 1000000 = floor(b * 1000000) AND abs(b) < 1000000000000 THEN
+        WHEN b * 1000000 = floor(b * 1000000) AND abs(b) < 1000000000000 AND abs(a) < 100000000000000000000 THEN
           try_divide(try_cast(a AS DECIMAL(32,12)), try_cast(b AS DECIMAL(18,6)))
-        ELSE try_divide(try_cast(a AS DECIMAL(26,12)), b) END""",
+        WHEN b = 0 THEN NULL
+        WHEN (a < 0) = (b < 0) THEN sw_long(sw_abs(a), sw_abs(b), sw_floor(sw_abs(a), sw_abs(b)))
+        ELSE sw_neg(sw_long(sw_abs(a), sw_abs(b), sw_floor(sw_abs(a), sw_abs(b)))) END""",
 }
 
 
@@ -293,16 +321,18 @@ def register_functions(spark) -> None:
     if spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "65535":
         spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     with session_conf(spark, {"spark.sql.decimalOperations.allowPrecisionLoss": "false"}):
-        for name in ("sw_whole", "sw_rest", "sw_mul"):
+        for name in ("sw_neg", "sw_abs", "sw_whole", "sw_rest", "sw_mul"):
             spark.sql(_SQL_FUNCTIONS[name])
-    with session_conf(spark, {"spark.sql.decimalOperations.allowPrecisionLoss": "true"}):
-        spark.sql(_SQL_DIVISION["sw_div"])
+    for name, text_of in _SQL_DIVISION.items():
+        loss = str(name not in ("sw_near", "sw_long")).lower()
+        with session_conf(spark, {"spark.sql.decimalOperations.allowPrecisionLoss": loss}):
+            spark.sql(text_of)
     spark._sluicework_ready = True
 
 
-def _call(name: str, a: Column, b: Column) -> Column:
+def _call(name: str, *xs: Column) -> Column:
     register_functions(active_session())
-    return F.call_function(name, a, b)
+    return F.call_function(name, *xs)
 
 
 def _tight(x: Val) -> tuple[Decimal, int, int] | None:
@@ -341,7 +371,7 @@ def mul(a, b) -> Val:
         if d == 1:
             return derive(num(a), NUMBER, a)
         product = num(a).try_cast(f"decimal({37 - p},12)") * F.lit(d).cast(f"decimal({p},{s})")
-        return derive(product.try_cast(NUM), NUMBER, a)
+        return derive(F.coalesce(product.try_cast(NUM), _call("sw_mul", num(a), num(b))), NUMBER, a)
     return derive(_call("sw_mul", num(a), num(b)), NUMBER, a, b)
 
 
@@ -352,7 +382,7 @@ def div(a, b) -> Val:
     if t is not None and t[0] != 0:
         d, p, s = t
         q = num(a).try_cast(f"decimal({38 - s},12)") / F.lit(d).cast(f"decimal({p},{s})")
-        return derive(q.try_cast(NUM), NUMBER, a)
+        return derive(F.coalesce(q.try_cast(NUM), _call("sw_div", num(a), num(b))), NUMBER, a)
     nb = num(b)
     q = _call("sw_div", num(a), nb)
     return optional_number(F.when(num(a).isNotNull(), nb == 0), q, a, b)
@@ -370,7 +400,7 @@ def optional_number(missing: Column, value: Column, *parents: Val) -> Val:
 
 def neg(a) -> Val:
     a = val(a)
-    return derive(-num(a), NUMBER, a)
+    return derive(_call("sw_neg", num(a)), NUMBER, a)
 
 
 # ---------------------------------------------------------------- comparison and logic

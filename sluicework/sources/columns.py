@@ -7,18 +7,20 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_COLUMNS = 16384
-
-
 def last_positions(header: list[str]) -> dict[str, int]:
     """Zero-based position of each name; the last column of a name wins, blanks have none."""
-    return {n: i for i, n in enumerate(header[:MAX_COLUMNS]) if n != ""}
+    return {n: i for i, n in enumerate(header) if n != ""}
 
 
 def field_at(i: int, decimal_separator: str = "."):
     return clean_field(F.get(F.col("_fields"), F.lit(i)), decimal_separator)
 
 
+def clean_positions(rows: DataFrame, decimal_separator: str = ".") -> DataFrame:
+    """Fields by position read like named ones; nothing is done where no one asks for them."""
+    return rows.withColumn("_fields", F.transform("_fields", lambda c: clean_field(c, decimal_separator)))
+
+
 def clean_field(c, decimal_separator: str = "."):
     c = F.coalesce(F.trim(c), F.lit(""))
     return c if decimal_separator == "." else normalise_decimal(c, decimal_separator)

@@ -10,10 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import session_conf
-from .columns import clean_field, last_positions, name_columns, profile
+from .columns import clean_field, clean_positions, last_positions, name_columns, profile
 from .files import glob_for, list_files, open_random, split_bound, spread
 
 MAX_BROADCAST_SPLITS = 400_000  # about 60 MB of paths and offsets
+PARSED_FIELDS = 20_480  # quoted lines with more fields are split by pattern alone
 QUOTES = {"double": '"', "single": "'", "none": ""}
 
 # Encodings whose web name differs from the codec's, and those the JVM lacks.
@@ -205,24 +206,43 @@ def number_lines(raw: DataFrame, splits_at_most: int) -> DataFrame:
 
 
 def split_fields(df: DataFrame, delimiter: str, quote: str, width: int) -> DataFrame:
-    """Turn ``value`` into the array ``_fields``.
+    """Turn ``value`` into the array ``_fields``: every field of every row, whatever the header's width.
 
     Lines without a quote character take the plain split; the others go through
     Spark's CSV parser one line at a time, so a quote never swallows the next line.
+    Fields of such a line beyond ``width`` come from ``quoted_fields``.
     """
     plain = F.split(F.col("value"), _regex_literal(delimiter), -1)
     q = QUOTES[quote]
     if not q:
         return df.withColumn("_fields", plain).drop("value")
+    every = quoted_fields(F.col("value"), delimiter, q)
+    quoted = F.col("value").contains(q)
+    if width == 0:
+        return df.withColumn("_fields", F.when(quoted, every).otherwise(plain)).drop("value")
     names = [f"c{i}" for i in range(width)]
     schema = ", ".join(f"{n} string" for n in names)
-    options = {"sep": delimiter, "quote": q, "escape": q, "mode": "PERMISSIVE", "maxColumns": str(max(width + 1, 20480))}
-    quoted = F.col("value").contains(q)
-    df = df.withColumn("_csv", F.when(quoted, F.from_csv("value", F.lit(schema), options)))
+    options = {"sep": delimiter, "quote": q, "escape": q, "mode": "PERMISSIVE", "maxColumns": str(max(width + 1, PARSED_FIELDS))}
+    places = F.size(plain)
+    df = df.withColumn("_csv", F.when(quoted & (places <= PARSED_FIELDS), F.from_csv("value", F.lit(schema), options)))
     parsed = F.array(*[F.coalesce(F.col(f"_csv.{n}"), F.lit("")) for n in names])
+    parsed = F.when(places <= width, parsed).when(places <= PARSED_FIELDS, F.concat(parsed, rest_of(every, width))).otherwise(every)
     return df.withColumn("_fields", F.when(quoted, parsed).otherwise(plain)).drop("_csv", "value")
 
 
+def quoted_fields(line: Column, delimiter: str, q: str) -> Column:
+    """The fields of a line of any width. A quote counts at the start of a field that it also ends."""
+    d, k = _regex_literal(delimiter), _regex_literal(q)
+    found = F.regexp_extract_all(F.concat(F.lit(delimiter), line), F.lit(f"{d}({k}(?:[^{k}]|{k}{k})*+{k}(?={d}|$)|[^{d}]*+)"), F.lit(1))
+    inner = lambda x: F.replace(F.substring(x, F.lit(2), F.char_length(x) - 2), F.lit(q + q), F.lit(q))
+    closed = lambda x: x.startswith(q) & x.endswith(q) & (F.char_length(x) > 1)
+    return F.transform(found, lambda x: F.when(closed(x), inner(x)).otherwise(x))
+
+
+def rest_of(every: Column, width: int) -> Column:
+    return F.slice(every, F.lit(width + 1), F.greatest(F.size(every) - width, F.lit(0)))
+
+
 def _regex_literal(ch: str) -> str:
     return "\\" + ch if not ch.isalnum() and ch not in "\t " else ch
 
@@ -230,9 +250,7 @@ def _regex_literal(ch: str) -> str:
 def parse_rows(spark, rows: DataFrame, heads: DataFrame | None, src: TextSource) -> DataFrame:
     """Lines with ``_line`` to named rows with ``_record_num``."""
     if heads is None:
-        if src.width is None:
-            raise ValueError("a headerless source needs its width")
-        width = src.width
+        width = src.width or 0
     else:
         seen = profile(heads)
         width = max(seen.width, src.width or 0)
@@ -248,7 +266,7 @@ def scan(spark: SparkSession, src: TextSource) -> DataFrame:
     heads = headers(spark, src) if src.header_line > 0 else None
     if not src.record_numbers and src.encoding == "utf-8" and src.header_line <= 1:
         seen = profile(heads) if heads is not None else None
-        if seen is None or seen.kinds <= 1:
+        if seen is not None and seen.kinds <= 1 or seen is None and src.width:
             return native_scan(spark, src, seen)
     need = src.record_numbers or src.header_line > 1
     rows = lines(spark, src.path, src.suffix, need)
@@ -257,7 +275,7 @@ def scan(spark: SparkSession, src: TextSource) -> DataFrame:
     elif src.header_line == 1:
         rows = skip_first_line(rows, split_bound(spark, src.path, src.suffix))
     rows = rows.filter(F.trim("value") != "")
-    out = parse_rows(spark, rows.withColumn("_sheet", F.lit("")), heads, src)
+    out = clean_positions(parse_rows(spark, rows.withColumn("_sheet", F.lit("")), heads, src), src.decimal_separator)
     gone = [c for c in ("_line", "_mid", "_block", "_path") if c in out.columns]
     return out.drop(*gone)
 
@@ -265,26 +283,31 @@ def scan(spark: SparkSession, src: TextSource) -> DataFrame:
 def native_scan(spark: SparkSession, src: TextSource, seen) -> DataFrame:
     """One pass with Spark's own reader: it drops header lines and parses only the columns in use."""
     width = max(seen.width if seen else 0, src.width or 0)
-    if width == 0:
-        raise ValueError("a headerless source needs its width")
+    q = QUOTES[src.quote]
     raw = (
         spark.read.format("csv")
-        .schema(", ".join(f"c{i} string" for i in range(width)))
-        .options(sep=src.delimiter, quote=QUOTES[src.quote], escape=QUOTES[src.quote] or "\\", header=str(src.header_line == 1).lower(),
-                 enforceSchema="true", mode="PERMISSIVE", multiLine="false", lineSep="\n", maxColumns=str(max(width + 1, 20480)),
+        .schema(", ".join(f"c{i} string" for i in range(width)) + ", _odd string")
+        .options(sep=src.delimiter, quote=q, escape=q or "\\", header=str(src.header_line == 1).lower(), columnNameOfCorruptRecord="_odd",
+                 enforceSchema="true", mode="PERMISSIVE", multiLine="false", lineSep="\n", maxColumns=str(max(width + 1, PARSED_FIELDS)),
                  pathGlobFilter=glob_for(src.suffix))
         .load(src.path)
     )
     last = F.col(f"c{width - 1}")
-    cells = [F.col(f"c{i}") for i in range(width - 1)] + [F.when(last.endswith("\r"), F.rtrim(last, F.lit("\r"))).otherwise(last)]
+    cells = [F.col(f"c{i}") for i in range(width - 1)] + [F.when(last.endswith("\r"), F.left(last, F.char_length(last) - 1)).otherwise(last)]
+    # Rows of another width than the header are kept whole in _odd; it is read only where positions are asked for.
+    odd = F.when(F.col("_odd").endswith("\r"), F.left("_odd", F.char_length("_odd") - 1)).otherwise(F.col("_odd"))
+    plain = F.split(odd, _regex_literal(src.delimiter), -1)
+    every = F.when(odd.contains(q), quoted_fields(odd, src.delimiter, q)).otherwise(plain) if q else plain
+    held = F.array(*[F.coalesce(c, F.lit("")) for c in cells])
+    held = F.when(F.col("_odd").isNull(), held).when(odd.contains(q) if q else F.lit(False), F.concat(held, rest_of(every, width))).otherwise(every)
     name = file_name()
     at = last_positions(seen.sample) if seen else {}
     names = [c for c in (src.columns if src.columns is not None else at) if c in at]
-    return raw.select(
-        name.alias("_file"), _stem(name, src.suffix).alias("_stem"), F.lit("").alias("_sheet"),
-        F.array(*[F.coalesce(c, F.lit("")) for c in cells]).alias("_fields"),
+    out = raw.select(
+        name.alias("_file"), _stem(name, src.suffix).alias("_stem"), F.lit("").alias("_sheet"), held.alias("_fields"),
         *[clean_field(cells[at[n]], src.decimal_separator).alias(n) for n in names],
     )
+    return clean_positions(out, src.decimal_separator)
 
 
 def skip_first_line(rows: DataFrame, splits_at_most: int) -> DataFrame:

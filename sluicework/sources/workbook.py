@@ -8,7 +8,7 @@ import posixpath
 import re
 import zipfile
 from dataclasses import dataclass
-from decimal import Decimal, InvalidOperation
+from decimal import Context, Decimal, InvalidOperation
 from urllib.parse import unquote
 from xml.etree.ElementTree import iterparse
 
@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .columns import MAX_COLUMNS, name_columns, profile
+from .columns import name_columns, profile
 from .files import list_files, open_random, spread
 from .text import _stem
 
@@ -113,7 +113,7 @@ def number_text(raw: str) -> str:
     """A stored number without exponent or idle zeros."""
     if "e" in raw or "E" in raw:
         try:
-            d = Decimal(raw).quantize(Decimal("1e-12"))
+            d = Decimal(raw).quantize(Decimal("1e-12"), context=Context(prec=60))
         except InvalidOperation:
             return raw
         raw = f"{d:f}"
@@ -137,13 +137,18 @@ def cell_text(raw: str, kind: str, style: int, texts: list[str], dates: set[int]
     return number_text(raw)
 
 
+MAX_COLUMNS = 16_384  # of the file format
+
+
 def _column(ref: str) -> int:
     n = 0
     for ch in ref:
         if not ch.isalpha():
             break
         n = n * 26 + ord(ch.upper()) - 64
-    return max(min(n, MAX_COLUMNS) - 1, 0)
+    if n > MAX_COLUMNS:
+        raise ValueError(f"cell {ref!r} lies beyond the last column of a sheet")
+    return max(n - 1, 0)
 
 
 def sheet_rows(z: zipfile.ZipFile, part: str):
