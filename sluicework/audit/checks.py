@@ -17,12 +17,14 @@ def ingest_checks(spark: SparkSession, src: TextSource) -> DataFrame:
 
     One pass over the lines with counters only; every byte is looked at.
     """
-    rows = lines(spark, src.path, src.suffix, record_numbers=False)
+    numbered = src.header_line > 1
+    rows = lines(spark, src.path, src.suffix, record_numbers=numbered)
+    data = F.trim("value") != ""  # blank lines are no records
     q = QUOTES[src.quote]
     count = F.length("value") - F.length(F.replace("value", F.lit(q), F.lit(""))) if q else F.lit(0)
     invalid = ~F.is_valid_utf8("value") if src.encoding == "utf-8" else F.lit(False)
     per_file = rows.groupBy("_path", "_file", "_stem").agg(
-        (F.count(F.lit(1)) - src.header_line).alias("rows"),
+        (F.count_if(data & (F.col("_line") > src.header_line)) if numbered else F.count_if(data) - src.header_line).alias("rows"),
         F.count_if(invalid).alias("invalid_utf8"),
         F.count_if(count % 2 == 1).alias("unbalanced_quotes"),
     )

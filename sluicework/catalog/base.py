@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.values import register_functions, text
+from ..session import scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,6 +32,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def write_json_arrays(spark, lines: DataFrame, label: str, other_items: str = "") -> str:
+    """Files that hold one JSON array each, made from the texts of ``line``; returns the folders' pattern."""
+    path = scratch_dir(spark, label)
+    bucket = F.pmod(F.xxhash64("line"), F.lit(4))
+    body = F.concat(F.lit("[" + other_items), F.array_join(F.collect_list("line"), ",\n"), F.lit("]"))
+    lines.groupBy(bucket.alias("b")).agg(body.alias("line")).write.partitionBy("b").text(path)
+    return f"{path}/*"
+
+
 def spread_rows(df: DataFrame) -> DataFrame:
     """A table that arrives in fewer partitions than there are cores is spread over them."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -14,6 +14,7 @@ from ..sinks.writers import write_json_lines, write_ordered, write_per_file
 from ..sources import archive, json_array, text, workbook
 from . import joins, routing, sources
 from .base import (
+    write_json_arrays,
     ACTIVITY_SQL, CLIENTS_SQL, GOODS_SQL, ITEMS_SQL, QUERIES, ORACLES, activity, clients, digits, goods, items, query, sales, table,
 )
 from .quality import write_lines
@@ -126,9 +127,7 @@ def _(spark, sf):
 
 
 def json_source(spark, df, label, **options):
-    path = scratch_dir(spark, label)
-    df.write.text(path)
-    return json_array.scan(spark, json_array.JsonSource(path, ".txt", lines=True, **options))
+    return json_array.scan(spark, json_array.JsonSource(write_json_arrays(spark, df, label), ".txt", **options))
 
 
 @query("r_09_json_union", CLIENTS + "SELECT name AS company, CASE WHEN k % 2 = 0 THEN 'CZ' || k ELSE '' END AS vat, nation AS email, CASE WHEN k % 2 = 1 THEN '+420 ' || k ELSE '' END AS phone FROM clients")

@@ -21,10 +21,9 @@ D = digits
 
 
 @query("k_02_csv_cells", f"""WITH prose AS ({PROSE_SQL}) SELECT k, replace(text, chr(10), '\\n') AS bare,
-  CASE WHEN contains(text, chr(10)) OR contains(text, ',') OR contains(text, '"') THEN '"' || replace(text, '"', '""') || '"' ELSE text END AS quoted FROM prose
-  WHERE NOT regexp_matches(text, '^[=+@-]') AND NOT contains(text, chr(13))""")
+  CASE WHEN contains(text, chr(10)) OR contains(text, ',') OR contains(text, '"') THEN '"' || replace(text, '"', '""') || '"' ELSE text END AS quoted FROM prose""")
 def _(spark, sf):
-    df = prose(spark, sf).filter(~F.col("text").rlike("^[=+@-]") & ~F.col("text").contains("\r"))
+    df = prose(spark, sf)
     return df.select("k", csv_cell(F.col("text"), CsvSpec()).alias("bare"), csv_cell(F.col("text"), CsvSpec(quote="double")).alias("quoted"))
 
 

@@ -17,7 +17,7 @@ from ..session import scratch_dir
 from ..sinks.cells import CsvSpec, csv_line, encode_lines
 from ..sinks.writers import write_csv
 from ..sources import archive, json_array, text, workbook
-from .base import ACTIVITY_SQL, CLIENTS_SQL, GOODS_SQL, ITEMS_SQL, activity, clients, digits, goods, items, query, table
+from .base import ACTIVITY_SQL, CLIENTS_SQL, GOODS_SQL, ITEMS_SQL, activity, clients, digits, goods, items, query, table, write_json_arrays
 from .quality import write_lines
 
 f = fn.field
@@ -91,7 +91,7 @@ def _(spark, sf):
 
 def _encoded(spark, sf, encoding):
     path = scratch_dir(spark, "s03")
-    df = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("text"))
+    df = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.replace("text", F.lit("\n"), F.lit("\\n")).alias("text"))
     lines = df.select(csv_line(["id", "text"], CsvSpec(delimiter="\t")).alias("line"))
     encode_lines(spark, lines, encoding).write.text(path)
     src = text.TextSource(path, suffix=".txt", delimiter="\t", quote="none", header_line=0, width=2, encoding=encoding, record_numbers=False)
@@ -99,11 +99,11 @@ def _encoded(spark, sf, encoding):
     return out.select(F.get("_fields", F.lit(0)).cast("bigint").alias("id"), F.get("_fields", F.lit(1)).alias("text"))
 
 
-_FIRST_LINE = "SELECT doc_id AS id, split_part(text, chr(10), 1) AS text FROM documents"
-_LATIN = "SELECT doc_id AS id, regexp_replace(split_part(text, chr(10), 1), '[^\\x{00}-\\x{FF}]', '?', 'g') AS text FROM documents"
+_WHOLE = "SELECT doc_id AS id, replace(text, chr(10), '\\n') AS text FROM documents"
+_LATIN = "SELECT doc_id AS id, regexp_replace(replace(text, chr(10), '\\n'), '[^\\x{00}-\\x{FF}]', '?', 'g') AS text FROM documents"
 
 
-@query("s_03_windows_1252", _FIRST_LINE)
+@query("s_03_windows_1252", _WHOLE)
 def _(spark, sf):
     return _encoded(spark, sf, "windows-1252")
 
@@ -124,10 +124,8 @@ def _(spark, sf):
         F.lit(', "even": '), (k % 2 == 0).cast("string"), F.lit(', "nested": '), F.col("props"),
         F.when(k % 3 == 0, F.concat(F.lit(', "who": "'), F.col("user"), F.lit('"'))).otherwise(F.lit("")), F.lit("}"),
     )
-    lines = a.groupBy(F.floor(k / 50).alias("b")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(one), ", "), F.lit("]")).alias("line"))
-    path = scratch_dir(spark, "s04")
-    lines.select("line").write.text(path)
-    df = json_array.scan(spark, json_array.JsonSource(path, ".txt", lines=True))
+    path = write_json_arrays(spark, a.select(one.alias("line")), "s04", '5, "x", null, [1], ')
+    df = json_array.scan(spark, json_array.JsonSource(path, ".txt"))
     return df.select("id", "amount", "type", "even", "nested", "who")
 
 
@@ -267,12 +265,11 @@ def _(spark, sf):
         F.to_json(F.struct(F.col("k").alias("order_id"), F.replace("ts", F.lit(" "), F.lit("T")).alias("ts"), F.col("value").alias("total"))).alias("line")
     )
     csv = write_lines(spark, a.filter("k % 2 = 0").select(F.concat_ws(";", F.col("k").cast("string"), F.date_format(F.col("ts").cast("timestamp"), "dd.MM.yyyy"), F.translate("value", ".", ",")).alias("line")), "id;date;amount", "u02")
-    js = scratch_dir(spark, "u02j")
-    odd.write.text(js)
+    js = write_json_arrays(spark, odd, "u02j")
     names = {n: n for n in ("id", "date", "amount")}
     old = Template("old", {"id": f("id"), "date": fn.date_convert(f("date"), "DD.MM.YYYY", "YYYY-MM-DD"), "amount": fn.replace(f("amount"), " ", "", ",", ".") * 1}, names)
     new = Template("new", {"id": f("order_id"), "date": fn.date_convert(f("ts"), "YYYY-MM-DDThh:mm:ss", "YYYY-MM-DD"), "amount": f("total") * 1}, names)
     return union_all(
         old.run(text.scan(spark, text.TextSource(csv, suffix=".txt", delimiter=";"))).output(),
-        new.run(json_array.scan(spark, json_array.JsonSource(js, ".txt", lines=True))).output(),
+        new.run(json_array.scan(spark, json_array.JsonSource(js, ".txt"))).output(),
     )

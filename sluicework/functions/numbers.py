@@ -20,7 +20,7 @@ CURRENCY_SIGNS = {"$": "USD", "€": "EUR", "£": "GBP", "¥": "JPY", "₽": "RU
 
 def abs_(x):
     x = val(x)
-    return derive(_call("sw_abs", num(x)), NUMBER, x)
+    return derive(_call("sw_exact_abs", num(x)), NUMBER, x)
 
 
 def _digits(n, what: str) -> int | None:

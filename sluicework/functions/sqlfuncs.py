@@ -47,6 +47,10 @@ def _catalogue():
     return out
 
 
+#: Functions that are SQL functions already; a call to one has no SQL spelling in an analysed plan.
+_EXACT = {"neg": "sw_exact_neg", "abs": "sw_exact_abs"}
+
+
 def _body(spark, col) -> str:
     empty = spark.createDataFrame([], ", ".join(f"{a} string" for a in _NUMERIC_TEXT))
     plan = empty.select(col.alias("x"))._jdf.queryExecution().analyzed()
@@ -60,6 +64,12 @@ def register_sql(spark: SparkSession, names=None, prefix: str = "sw_") -> list[s
     for name, (build, n) in _catalogue().items():
         if names is not None and name not in names:
             continue
+        if name in _EXACT:
+            a = _body(spark, text_to_num(F.col("a")))
+            shown = f"rtrim('.', rtrim('0', CAST({_EXACT[name]}({a}) AS STRING)))"
+            spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {prefix}{name}(a STRING) RETURNS STRING RETURN {shown}")
+            made.append(prefix + name)
+            continue
         args = _NUMERIC_TEXT[:n]
         body = _body(spark, text(build(*[val(F.col(a)) for a in args])))
         params = ", ".join(f"{a} STRING" for a in args)

@@ -9,6 +9,7 @@ from functools import lru_cache
 
 from pyspark.sql import functions as F
 
+from ..session import active_session
 from .values import BLANKS, BOOLEAN, INTEGER, TEXT
 from .values import derive, num, parse_number, text_arg, val
 
@@ -214,21 +215,42 @@ def rpad(s, n, pad):
 
 # ---------------------------------------------------------------- regular expressions
 
+#: Letters that may follow a backslash in the RE2 dialect.
+_ESCAPES = frozenset("afrntvxQEAbBzdDsSwWpP")
+
+
 def java_pattern(p: str) -> str:
     """Check an RE2-style pattern and spell it for the JVM.
 
-    Lookaround, back-references and possessive quantifiers are refused; named
-    groups, case folding and the end anchor are written the JVM way.
+    Lookaround, back-references, possessive quantifiers and the JVM's own
+    escapes are refused. Named groups, case folding, the end anchor, swapped
+    greediness and white space are written the JVM way, with ``\\n`` as the only
+    line end. What is left is compiled once, so a bad pattern fails here.
     """
-    out, i, in_class = [], 0, False
+    out, i, in_class = ["(?d)"], 0, False
+    modes = [frozenset()]  # flags of the open groups
     while i < len(p):
         ch = p[i]
         if ch == "\\" and i + 1 < len(p):
             nxt = p[i + 1]
-            if not in_class and nxt in "123456789":
+            if nxt == "Q" and not in_class:
+                end = p.find("\\E", i)
+                end = len(p) if end < 0 else end
+                out += ["\\" + c if not c.isalnum() and c.isascii() else c for c in p[i + 2 : end]]
+                i = min(len(p), end + 2)
+                continue
+            if nxt in "123456789":
                 raise ValueError(f"back-reference in pattern {p!r}")
-            out.append("\\" + nxt)
+            if nxt.isalpha() and nxt.isascii() and nxt not in _ESCAPES:
+                raise ValueError(f"unknown escape in pattern {p!r}: \\{nxt}")
+            inner = "\\t\\n\\f\\r "
+            white = {"s": inner if in_class else f"[{inner}]", "v": "\\x0B"} | ({} if in_class else {"S": f"[^{inner}]"})
+            out.append(white.get(nxt, "\\" + nxt))
             i += 2
+            if nxt in "pPx" and p[i : i + 1] == "{":
+                end = p.find("}", i) + 1
+                out.append(p[i:end])
+                i = end
             continue
         if in_class:
             if ch == "]":
@@ -259,34 +281,48 @@ def java_pattern(p: str) -> str:
                 i += 1
             continue
         if ch == "$":
-            out.append("\\z")
+            out.append("$" if "m" in modes[-1] else "\\z")
             i += 1
             continue
-        if p.startswith("(?", i):
-            if p.startswith("(?P<", i):
-                out.append("(?<")
-                i += 4
+        if ch == ")" and len(modes) > 1:
+            modes.pop()
+        if ch == "(":
+            name = re.match(r"\(\?P?<([A-Za-z]\w*)>", p[i:])
+            flags = re.match(r"\(\?([imsU]*)(?:-([imsU]+))?([:)])", p[i:])
+            if name:
+                out.append(f"(?<{name.group(1)}>")
+                modes.append(modes[-1])
+                i += name.end()
                 continue
-            m = re.match(r"\(\?([a-zA-Z-]*)([:)])", p[i:])
-            if m:
-                flags = m.group(1)
-                if "i" in flags.split("-")[0]:
-                    flags = flags.replace("i", "iu", 1)
-                out.append("(?" + flags + m.group(2))
-                i += m.end()
+            if flags:
+                now = (modes[-1] | set(flags.group(1))) - set(flags.group(2) or "")
+                on, off = (re.sub("U", "", x or "").replace("i", "iu") for x in flags.group(1, 2))
+                out.append("(?" + on + ("-" + off if off else "") + flags.group(3))
+                if flags.group(3) == ":":
+                    modes.append(now)
+                else:
+                    modes[-1] = now
+                i += flags.end()
                 continue
-            if not re.match(r"\(\?<[A-Za-z]", p[i:]):
+            if p.startswith("(?", i):
                 raise ValueError(f"unsupported group in pattern {p!r}")
-        if ch in "*+?}" and p[i + 1 : i + 2] == "+":
-            raise ValueError(f"nested quantifier in pattern {p!r}")
+            modes.append(modes[-1])
+        repeat = re.match(r"[*+?]|\{\d+(?:,\d*)?\}", p[i:])
+        if repeat:
+            i += repeat.end()
+            if p[i : i + 1] == "+":
+                raise ValueError(f"nested quantifier in pattern {p!r}")
+            lazy = p[i : i + 1] == "?"
+            i += lazy
+            out.append(repeat.group(0) + ("?" if lazy != ("U" in modes[-1]) else ""))
+            continue
         out.append(ch)
         i += 1
     spelled = "".join(out)
     try:
-        re.compile(re.sub(r"\(\?<([A-Za-z])", r"(?P<\1", p.replace("(?P<", "(?<")))
-    except re.error as e:
-        if "[:" not in p and "\\p" not in p and "\\z" not in p:
-            raise ValueError(f"bad pattern {p!r}: {e}") from None
+        active_session()._jvm.java.util.regex.Pattern.compile(spelled)
+    except Exception as e:
+        raise ValueError(f"bad pattern {p!r}: {str(e).splitlines()[-1]}") from None
     return spelled
 
 
@@ -331,12 +367,45 @@ def regex_extract(s, pattern):
     s = text_arg(s, "regex_extract")
     p = _literal_pattern(pattern)
     jp = java_pattern(p)
-    if _groups(p) == 0:
+    groups = _groups(jp)
+    if groups == 0:
         return derive(F.regexp_extract(s.col, jp, 0), TEXT, s)
     first = F.regexp_extract(s.col, jp, 1)
-    if re.search(r"\)[?*]|\)\{0?,|\|", p):
-        first = F.when(first == "", F.regexp_extract(s.col, jp, 0)).otherwise(first)
-    return derive(first, TEXT, s)
+    if not re.search(r"\)[?*]|\)\{0|\|", p):  # nothing that could pass group 1 over
+        return derive(first, TEXT, s)
+    # An empty group inside group 1 matches again only if group 1 took part; a neighbouring character shows it.
+    marked, inside = _with_empty_group(jp)
+    shown = rf"(?:{marked})(?:\{2 + inside}(?:(?=([\s\S]))|(?<=([\s\S])))|)"
+    took = (F.regexp_extract(s.col, shown, groups + 2) != "") | (F.regexp_extract(s.col, shown, groups + 3) != "")
+    return derive(F.when((first == "") & ~took, F.regexp_extract(s.col, jp, 0)).otherwise(first), TEXT, s)
+
+
+def _with_empty_group(jp: str) -> tuple[str, int]:
+    """The pattern with ``()`` behind all its first group holds, and how many groups that one holds."""
+    i, in_class, depth, inside, start, body = 0, False, 0, 0, None, 0
+    while i < len(jp):
+        ch = jp[i]
+        if ch == "\\":
+            i += 2
+            continue
+        if in_class:
+            in_class = ch != "]"
+        elif ch == "[":
+            in_class = True
+        elif ch == "(":
+            depth += 1
+            if jp[i + 1 : i + 2] != "?" or re.match(r"\(\?<[A-Za-z]", jp[i:]):
+                if start is None:
+                    start = depth
+                    body = jp.index(">", i) + 1 if jp[i + 1] == "?" else i + 1
+                else:
+                    inside += 1
+        elif ch == ")":
+            if start is not None and depth == start:
+                return f"{jp[:body]}(?:{jp[body:i]})(){jp[i:]}", inside
+            depth -= 1
+        i += 1
+    raise ValueError(f"no group in {jp!r}")
 
 
 def java_replacement(r: str, pattern: str) -> str:

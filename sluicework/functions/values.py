@@ -253,10 +253,10 @@ def canonical(x) -> Column:
 # bound once, so a nested formula stays linear in size.
 _SQL_FUNCTIONS = {
     # Spark's own abs and minus round wide negative numbers to 34 digits.
-    "sw_neg": """
-      CREATE OR REPLACE TEMPORARY FUNCTION sw_neg(a DECIMAL(38,12)) RETURNS DECIMAL(38,12) RETURN 0 - a""",
-    "sw_abs": """
-      CREATE OR REPLACE TEMPORARY FUNCTION sw_abs(a DECIMAL(38,12))
+    "sw_exact_neg": """
+      CREATE OR REPLACE TEMPORARY FUNCTION sw_exact_neg(a DECIMAL(38,12)) RETURNS DECIMAL(38,12) RETURN 0 - a""",
+    "sw_exact_abs": """
+      CREATE OR REPLACE TEMPORARY FUNCTION sw_exact_abs(a DECIMAL(38,12))
       RETURNS DECIMAL(38,12) RETURN CASE WHEN a < 0 THEN 0 - a ELSE a END""",
     "sw_mul": """
       CREATE OR REPLACE TEMPORARY FUNCTION sw_mul(a DECIMAL(38,12), b DECIMAL(38,12))
@@ -305,8 +305,8 @@ _SQL_DIVISION = {
         WHEN b * 1000000 = floor(b * 1000000) AND abs(b) < 1000000000000 AND abs(a) < 100000000000000000000 THEN
           try_divide(try_cast(a AS DECIMAL(32,12)), try_cast(b AS DECIMAL(18,6)))
         WHEN b = 0 THEN NULL
-        WHEN (a < 0) = (b < 0) THEN sw_long(sw_abs(a), sw_abs(b), sw_floor(sw_abs(a), sw_abs(b)))
-        ELSE sw_neg(sw_long(sw_abs(a), sw_abs(b), sw_floor(sw_abs(a), sw_abs(b)))) END""",
+        WHEN (a < 0) = (b < 0) THEN sw_long(sw_exact_abs(a), sw_exact_abs(b), sw_floor(sw_exact_abs(a), sw_exact_abs(b)))
+        ELSE sw_exact_neg(sw_long(sw_exact_abs(a), sw_exact_abs(b), sw_floor(sw_exact_abs(a), sw_exact_abs(b)))) END""",
 }
 
 
@@ -321,7 +321,7 @@ def register_functions(spark) -> None:
     if spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "65535":
         spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     with session_conf(spark, {"spark.sql.decimalOperations.allowPrecisionLoss": "false"}):
-        for name in ("sw_neg", "sw_abs", "sw_whole", "sw_rest", "sw_mul"):
+        for name in ("sw_exact_neg", "sw_exact_abs", "sw_whole", "sw_rest", "sw_mul"):
             spark.sql(_SQL_FUNCTIONS[name])
     for name, text_of in _SQL_DIVISION.items():
         loss = str(name not in ("sw_near", "sw_long")).lower()
@@ -400,7 +400,7 @@ def optional_number(missing: Column, value: Column, *parents: Val) -> Val:
 
 def neg(a) -> Val:
     a = val(a)
-    return derive(_call("sw_neg", num(a)), NUMBER, a)
+    return derive(_call("sw_exact_neg", num(a)), NUMBER, a)
 
 
 # ---------------------------------------------------------------- comparison and logic

@@ -201,7 +201,7 @@ class Run:
         """One record per failing cell: variable and where its expression stands."""
         t = self.template
         rule, pos = F.col("_rule"), F.col("_emit_pos")
-        names = list(dict.fromkeys(t.output.values()))
+        names = list(dict.fromkeys([*t.output.values(), *t.variables, *(n for r in t.rules for row in r.rows for n in row)]))
         tests = []
         for n in names:
             base = t.variables.get(n)
@@ -215,7 +215,8 @@ class Run:
                         tests.append(F.when(hit, _cell(n, "override", p)))
         if not tests:
             tests = [F.when(F.lit(False), _cell("", "", 0))]
-        cells = self._kept().select("_file", "_record_num", "_rule", F.explode(F.array_compact(F.array(*tests))).alias("c"))
+        cells = self._kept().select("_file", "_record_num", "_rule", F.array_compact(F.array(*tests)).alias("cells"))
+        cells = cells.select("_file", "_record_num", "_rule", F.explode("cells").alias("c"))
         return cells.select("_file", "_record_num", "_rule", "c.variable", "c.origin", "c.emit_pos")
 
     @_exact
@@ -250,8 +251,7 @@ class Run:
         else:
             emitted = F.when(F.col("_reason").isNull(), F.col("_n")).otherwise(F.lit(0))
         failed = F.lit(0)
-        for n in dict.fromkeys(t.output.values()):
-            base = t.variables.get(n)
+        for n, base in t.variables.items():  # every variable counts, written or not
             if base is not None and base.const is None:
                 failed = failed + (base_used(t.rules, n, rule) & base.col.isNull()).cast("int")
 

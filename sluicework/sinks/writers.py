@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import posixpath
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import drop_folder, scratch_dir
 from .cells import CsvSpec, csv_header, csv_line, encode_lines, json_line
 
 ORDER = ["_file", "_record_num", "_emit_pos"]
@@ -32,6 +34,21 @@ def _lines(df: DataFrame, spec: CsvSpec | None, keep=()) -> DataFrame:
     return df.select(*keep, (json_line(cols) if spec is None else csv_line(cols, spec)).alias("line"))
 
 
+@contextlib.contextmanager
+def staged(df: DataFrame, label: str):
+    """The rows written once to the shared folder: sorting, headers and brackets read those, not the conversion again.
+
+    The files go when the output is written.
+    """
+    spark = df.sparkSession
+    path = scratch_dir(spark, label)
+    df.write.parquet(path)
+    try:
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        drop_folder(spark, path)
+
+
 def write_csv(df: DataFrame, path: str, spec: CsvSpec = CsvSpec(), source: str | None = None, mode="error") -> None:
     """Parallel part files, each with the header on top. No shuffle, no sort."""
     guard_target(path, source)
@@ -56,13 +73,12 @@ def _key(df: DataFrame):
         raise ValueError(f"an ordered output needs {missing}; run output(with_order=True)")
 
 
-def ordered_lines(df: DataFrame, spec: CsvSpec | None) -> DataFrame:
-    """Lines with sort keys, the header (or the array brackets) included once."""
-    _key(df)
-    lines = _lines(df, spec, ORDER).withColumn("_part", F.lit(1))
+def ordered_lines(lines: DataFrame, spec: CsvSpec | None, columns: list[str]) -> DataFrame:
+    """Staged lines with sort keys, the header (or the array brackets) included once."""
+    lines = lines.withColumn("_part", F.lit(1))
     if spec is None:
         first = lines.agg(F.min(F.struct(*ORDER)).alias("m")).collect()[0].m
-        edge = df.sparkSession.range(1).select(
+        edge = lines.sparkSession.range(1).select(
             F.explode(F.array(F.lit(0), F.lit(2))).alias("_part"), F.lit("").alias("_file"),
             F.lit(0).cast("bigint").alias("_record_num"), F.lit(0).alias("_emit_pos"),
         )
@@ -74,9 +90,9 @@ def ordered_lines(df: DataFrame, spec: CsvSpec | None) -> DataFrame:
         return lines.unionByName(edge)
     if not spec.header:
         return lines
-    head = df.sparkSession.range(1).select(
+    head = lines.sparkSession.range(1).select(
         F.lit("").alias("_file"), F.lit(0).cast("bigint").alias("_record_num"), F.lit(0).alias("_emit_pos"),
-        csv_header(data_columns(df), spec).alias("line"), F.lit(0).alias("_part"),
+        csv_header(columns, spec).alias("line"), F.lit(0).alias("_part"),
     )
     return lines.unionByName(head)
 
@@ -88,8 +104,10 @@ def write_ordered(df: DataFrame, path: str, spec: CsvSpec | None = CsvSpec(), so
     record, so no task has to hold more than its share of even one huge file.
     """
     guard_target(path, source)
-    out = ordered_lines(df, spec).orderBy("_part", *ORDER).select("line")
-    encode_lines(df.sparkSession, out, spec.encoding if spec else "utf-8").write.mode(mode).text(path)
+    _key(df)
+    with staged(_lines(df, spec, ORDER), "ordered") as lines:
+        out = ordered_lines(lines, spec, data_columns(df)).orderBy("_part", *ORDER).select("line")
+        encode_lines(df.sparkSession, out, spec.encoding if spec else "utf-8").write.mode(mode).text(path)
 
 
 def write_per_file(df: DataFrame, path: str, spec: CsvSpec = CsvSpec(), source=None, mode="error") -> None:
@@ -99,13 +117,13 @@ def write_per_file(df: DataFrame, path: str, spec: CsvSpec = CsvSpec(), source=N
     """
     guard_target(path, source)
     _key(df)
-    lines = _lines(df, spec, ["_stem", *ORDER])
-    if spec.header:
-        heads = df.select("_stem").distinct().select(
-            "_stem", F.lit("").alias("_file"), F.lit(0).cast("bigint").alias("_record_num"),
-            F.lit(-1).alias("_emit_pos"), csv_header(data_columns(df), spec).alias("line"),
-        )
-        lines = lines.unionByName(heads)
-    keys = ["_stem", "_record_num", "_emit_pos"]
-    out = lines.repartitionByRange(*keys).sortWithinPartitions(*keys).select("_stem", "line")
-    encode_lines(df.sparkSession, out, spec.encoding).write.mode(mode).partitionBy("_stem").text(path)
+    with staged(_lines(df, spec, ["_stem", *ORDER]), "per_file") as lines:
+        if spec.header:
+            heads = lines.select("_stem").distinct().select(
+                "_stem", F.lit("").alias("_file"), F.lit(0).cast("bigint").alias("_record_num"),
+                F.lit(-1).alias("_emit_pos"), csv_header(data_columns(df), spec).alias("line"),
+            )
+            lines = lines.unionByName(heads)
+        keys = ["_stem", "_record_num", "_emit_pos"]
+        out = lines.repartitionByRange(*keys).sortWithinPartitions(*keys).select("_stem", "line")
+        encode_lines(df.sparkSession, out, spec.encoding).write.mode(mode).partitionBy("_stem").text(path)

@@ -110,8 +110,11 @@ def first_lines(path: str, n: int) -> list[bytes]:
     return buf.split(b"\n")[:n]
 
 
-def headers(spark: SparkSession, src: TextSource) -> DataFrame:
-    """One row per file with the names in its header line. Only the top of each file is read."""
+def headers(spark: SparkSession, src: TextSource, files: DataFrame | None = None) -> DataFrame:
+    """One row per file with the names in its header line. Only the top of each file is read.
+
+    files: the paths to open (column path) instead of the whole folder.
+    """
     at, delimiter, quote, encoding = src.header_line, src.delimiter, src.quote, src.encoding
 
     def read(batches):
@@ -126,7 +129,7 @@ def headers(spark: SparkSession, src: TextSource) -> DataFrame:
                 out.append([n.strip(" ") for n in split_line(text, delimiter, quote)])
             yield pd.DataFrame({"_path": pdf["path"], "_header": out})
 
-    files = spread(list_files(spark, src.path, src.suffix).select("path"), spark)
+    files = spread(list_files(spark, src.path, src.suffix).select("path") if files is None else files, spark)
     return files.mapInPandas(read, "_path string, _header array<string>")
 
 

@@ -49,8 +49,7 @@ def convert_new(
         )
         heads = None
         if src.header_line > 0:
-            names = batch.select("_path").distinct()
-            heads = headers(session, src).join(names, "_path", "left_semi")
+            heads = headers(session, src, batch.select(F.col("_path").alias("path")).distinct())
         table = parse_rows(session, rows, heads, src)
         result = template.run(table).output(with_order=True)
         write_per_file(result, f"{out}/batch={batch_id}", spec, source=src.path, mode="overwrite")
