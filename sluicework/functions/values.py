@@ -281,21 +281,21 @@ _SQL_FUNCTIONS = {
 # so the quotient is rounded once. Operands that are too wide for that take long division:
 # whole units first, then the twelve digits of what is left; its sums keep full precision.
 _SQL_DIVISION = {
-    "sw_floor": """
-      CREATE OR REPLACE TEMPORARY FUNCTION sw_floor(a DECIMAL(38,12), b DECIMAL(38,12))
+    "sw_exact_floor": """
+      CREATE OR REPLACE TEMPORARY FUNCTION sw_exact_floor(a DECIMAL(38,12), b DECIMAL(38,12))
       RETURNS DECIMAL(26,0) RETURN greatest(try_cast(floor(try_divide(a, b) - 0.000001) AS DECIMAL(26,0)), CAST(0 AS DECIMAL(26,0)))""",
-    "sw_near": """
-      CREATE OR REPLACE TEMPORARY FUNCTION sw_near(t DECIMAL(38,12), b DECIMAL(38,12), d DECIMAL(26,0))
+    "sw_exact_near": """
+      CREATE OR REPLACE TEMPORARY FUNCTION sw_exact_near(t DECIMAL(38,12), b DECIMAL(38,12), d DECIMAL(26,0))
       RETURNS DECIMAL(26,0) RETURN try_cast(d + CASE
         WHEN 2 * (t - sw_mul(d, b)) >= 3 * b THEN 2 WHEN 2 * (t - sw_mul(d, b)) >= b THEN 1 ELSE 0 END AS DECIMAL(26,0))""",
-    "sw_digits": """
-      CREATE OR REPLACE TEMPORARY FUNCTION sw_digits(r DECIMAL(38,12), b DECIMAL(38,12), s DECIMAL(13,0))
+    "sw_exact_digits": """
+      CREATE OR REPLACE TEMPORARY FUNCTION sw_exact_digits(r DECIMAL(38,12), b DECIMAL(38,12), s DECIMAL(13,0))
       RETURNS DECIMAL(26,0) RETURN CASE
-        WHEN b < 10000000000000 THEN sw_near(sw_mul(r, 1000000000000), b, sw_floor(sw_mul(r, 1000000000000), b))
+        WHEN b < 10000000000000 THEN sw_exact_near(sw_mul(r, 1000000000000), b, sw_exact_floor(sw_mul(r, 1000000000000), b))
         ELSE try_cast(1000000000000 * try_divide(try_cast(floor(r * s) AS DECIMAL(26,0)), try_cast(floor(b * s) AS DECIMAL(26,0))) AS DECIMAL(26,0)) END""",
-    "sw_long": """
-      CREATE OR REPLACE TEMPORARY FUNCTION sw_long(a DECIMAL(38,12), b DECIMAL(38,12), q DECIMAL(26,0))
-      RETURNS DECIMAL(38,12) RETURN try_cast(q + CAST(sw_digits(a - sw_mul(q, b), b,
+    "sw_exact_long": """
+      CREATE OR REPLACE TEMPORARY FUNCTION sw_exact_long(a DECIMAL(38,12), b DECIMAL(38,12), q DECIMAL(26,0))
+      RETURNS DECIMAL(38,12) RETURN try_cast(q + CAST(sw_exact_digits(a - sw_mul(q, b), b,
         try_cast(pow(10, greatest(0, 24 - floor(log10(CAST(b AS DOUBLE))))) AS DECIMAL(13,0))) AS DECIMAL(14,0)) * 0.000000000001BD AS DECIMAL(38,12))""",
     "sw_div": """
       CREATE OR REPLACE TEMPORARY FUNCTION sw_div(a DECIMAL(38,12), b DECIMAL(38,12))
@@ -305,8 +305,8 @@ _SQL_DIVISION = {
         WHEN b * 1000000 = floor(b * 1000000) AND abs(b) < 1000000000000 AND abs(a) < 100000000000000000000 THEN
           try_divide(try_cast(a AS DECIMAL(32,12)), try_cast(b AS DECIMAL(18,6)))
         WHEN b = 0 THEN NULL
-        WHEN (a < 0) = (b < 0) THEN sw_long(sw_exact_abs(a), sw_exact_abs(b), sw_floor(sw_exact_abs(a), sw_exact_abs(b)))
-        ELSE sw_exact_neg(sw_long(sw_exact_abs(a), sw_exact_abs(b), sw_floor(sw_exact_abs(a), sw_exact_abs(b)))) END""",
+        WHEN (a < 0) = (b < 0) THEN sw_exact_long(sw_exact_abs(a), sw_exact_abs(b), sw_exact_floor(sw_exact_abs(a), sw_exact_abs(b)))
+        ELSE sw_exact_neg(sw_exact_long(sw_exact_abs(a), sw_exact_abs(b), sw_exact_floor(sw_exact_abs(a), sw_exact_abs(b)))) END""",
 }
 
 
@@ -324,7 +324,7 @@ def register_functions(spark) -> None:
         for name in ("sw_exact_neg", "sw_exact_abs", "sw_whole", "sw_rest", "sw_mul"):
             spark.sql(_SQL_FUNCTIONS[name])
     for name, text_of in _SQL_DIVISION.items():
-        loss = str(name not in ("sw_near", "sw_long")).lower()
+        loss = str(name not in ("sw_exact_near", "sw_exact_long")).lower()
         with session_conf(spark, {"spark.sql.decimalOperations.allowPrecisionLoss": loss}):
             spark.sql(text_of)
     spark._sluicework_ready = True
