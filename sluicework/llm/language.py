@@ -145,7 +145,7 @@ def identify(docs: DataFrame, keys: list[str], text_col: str = "text", declared:
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, k * n + 1, k, dtype=np.int32)), pa.array((lean - lean.max(1, keepdims=True)).ravel()))
                 yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(part.first, n) for i in range(5)], flat, pa.array(best)], schema.names)
 
-    seen = written(seen.mapInArrow(weigh, schema), "evidence")
+    seen = written(seen.mapInArrow(weigh, schema), "evidence", texts=True)
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
     normal = lambda a: F.transform(a, lambda x: x / total(a))
     spread = seen.withColumn("p", F.transform("lean", lambda x: F.exp(x))).withColumn("p", normal(F.col("p")))

@@ -17,8 +17,8 @@ from .words import WORD_BASE, Slice, ragged, rolled, slices
 
 #: Words of a window, and of the prefix that deals suffixes into groups.
 WINDOW, PREFIX = 50, 16
-#: A prefix met more often than this is lengthened to the whole window.
-GROUP_SUFFIXES = 4096
+#: A prefix met more often than this is lengthened to the whole window, and each such node dealt into SALTS parts.
+GROUP_SUFFIXES, SALTS = 512, 64
 _PLACE_BITS = 28
 
 
@@ -80,8 +80,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
        them are maximal repeats, and become spans.
     4. A prefix met more than group_suffixes times is lengthened to the whole
        window. Such a node's smallest id is found by a grouped minimum,
-       combined before the shuffle, and joined back, so that no passage that
-       many documents share meets in one task.
+       combined before the shuffle, and leads each of the node's SALTS parts,
+       so that no passage that many documents share meets in one task.
 
     Null texts have no words. Rows with a null id are left whole and count for
     no other. Rows that repeat an id don't count for each other. Texts of fewer
@@ -108,7 +108,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 )
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    first_look = written(rows.mapInArrow(look, seen), "anchors")
+    first_look = written(rows.mapInArrow(look, seen), "anchors", texts=True)
     whole = written(first_look.where("id IS NOT NULL").groupBy("sha").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.max("digest").alias("digest")), "texts")
     copied = written(whole.where("first_id < last_id").select("sha", "first_id"), "copied")
     later = small(copied.withColumnRenamed("first_id", "kept_id"), 100)
@@ -153,7 +153,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                     suffix.names,
                 )
 
-    tree = written(with_text(regions, "regions").mapInArrow(suffixes, suffix), "suffixes")
+    tree = written(with_text(regions, "regions").mapInArrow(suffixes, suffix), "suffixes", texts=True)
 
     found = T.StructType([T.StructField("id", kind)] + [T.StructField(n, T.LongType()) for n in ("digest", "first")])
 
@@ -177,11 +177,13 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             later_ones = pa.array(values > leads[at])
             yield pa.RecordBatch.from_arrays([ids, batch.column(1), batch.column(2)], found.names).filter(later_ones)
 
-    cold = tree.where("NOT hot").repartition("prefix").sortWithinPartitions("prefix", "label", "id").select("id", "digest", "first", "prefix", "label").mapInArrow(subtrees, found)
     hot = tree.where("hot")
-    least = written(hot.groupBy("label").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("label", "least"), "nodes")
-    hot = hot.join(small(least, 24), "label").where(F.col("id") > F.col("least")).select("id", "digest", "first")
-    covered = cold.union(hot).groupBy("id", "digest").agg(F.collect_set("first").alias("firsts"))
+    lead = written(hot.groupBy("label").agg(F.min("id").alias("id"), F.max("id").alias("most")).where("id < most").select("id", "label"), "nodes")
+    lead = lead.select("id", F.lit(0).cast("long").alias("digest"), F.lit(0).cast("long").alias("first"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), "label")
+    salted = lead.union(hot.select("id", "digest", "first", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"), "label"))
+    dealt = tree.where("NOT hot").select("id", "digest", "first", "prefix", "label").union(salted.select("id", "digest", "first", F.xxhash64("label", "salt"), "label"))
+    covered = dealt.repartition("prefix").sortWithinPartitions("prefix", "label", "id").mapInArrow(subtrees, found)
+    covered = covered.groupBy("id", "digest").agg(F.collect_set("first").alias("firsts"))
     covered = written(covered, "covered")
 
     result = T.StructType([T.StructField("id", kind), T.StructField("digest", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType()), T.StructField("spans", span)])
@@ -206,7 +208,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 5, arrow_types, strict=True)], result.names)
 
     arrow_types = [to_arrow_type(f.dataType) for f in result.fields]
-    changed = written(with_text(covered, "firsts").mapInArrow(cut, result).dropDuplicates(["id", "digest"]), "cut")
+    changed = written(with_text(covered, "firsts").mapInArrow(cut, result).dropDuplicates(["id", "digest"]), "cut", texts=True)
     all_gone = F.col("copy") & (F.col("n_words") >= window)
     every = F.array(F.struct(F.lit(0).cast("long").alias("first"), F.col("n_words").alias("end")))
     empty = F.sha2(F.lit("").cast("binary"), 256)

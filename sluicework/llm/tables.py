@@ -5,17 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import scratch_dir
+from ..session import scratch_dir, session_conf
 
 #: A join side is broadcast only while its counted rows stay below this many bytes.
 BROADCAST_BYTES = 16 << 20
+#: Rows with whole texts that are sent to Python at once.
+TEXT_ROWS = 1000
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """The table, written to the shared folder and read again: lineage ends, and a lost executor costs no rework."""
+def written(df: DataFrame, label: str, texts: bool = False) -> DataFrame:
+    """The table, written to the shared folder and read again: lineage ends, and a lost executor costs no rework.
+
+    texts: whole texts go through Python on the way, so fewer rows are sent at once.
+    """
     spark = df.sparkSession
     path = scratch_dir(spark, label)
-    df.write.parquet(path)
+    with session_conf(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(TEXT_ROWS)} if texts else {}):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

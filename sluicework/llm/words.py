@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 BASE = 0x9E3779B97F4A7C15 | 1
 WORD_BASE = 0xD6E8FEB86659FD93 | 1
 #: Texts are worked on in slices of about so many bytes; one longer text is a slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 #: `[^\x20\x09-\x0D]+`
 NOT_SPACE = np.ones(256, bool)
