@@ -26,18 +26,24 @@ class Lookup:
         return [self.key, self.when, *self.values.values()]
 
 
+def place(df: DataFrame) -> str:
+    """The column that says which of two rows of a file comes later: its record number, or its place in the scan."""
+    return "_order" if "_order" in df.columns else "_record_num"
+
+
 def entries(df: DataFrame, lookup: Lookup, scope=("_file",)) -> DataFrame:
     """Every definition a source makes, before later ones overwrite earlier ones."""
     if any(p.lookups for p in lookup.parents()):
         raise ValueError("a lookup's own expressions cannot use lookups")
+    order = place(df)
     raw = df.filter(F.coalesce(truthy(lookup.when), F.lit(False))).select(
-        *scope, "_record_num", lookup.key.col.alias("_k"), *[v.col.alias(f"_v{i}") for i, v in enumerate(lookup.values.values())]
+        *scope, order, lookup.key.col.alias("_k"), *[v.col.alias(f"_v{i}") for i, v in enumerate(lookup.values.values())]
     )
     kinds = list(lookup.values.values())
     key = Val(F.col("_k"), lookup.key.kind)
     return raw.select(
         *scope,
-        "_record_num",
+        order,
         canonical(key).alias("_key"),
         *[
             canonical(Val(F.col(f"_v{i}"), kinds[i].kind)).alias(name)
@@ -50,7 +56,7 @@ def build_side(df: DataFrame, lookup: Lookup, scope=("_file",)) -> DataFrame:
     """One row per key. Each value keeps its own last definition that did not fail."""
     e = entries(df, lookup, scope)
     last = [
-        F.expr(f"max_by(`{n}`, _record_num) FILTER (WHERE `{n}` IS NOT NULL)").alias(n) for n in lookup.values
+        F.expr(f"max_by(`{n}`, {place(df)}) FILTER (WHERE `{n}` IS NOT NULL)").alias(n) for n in lookup.values
     ]
     return e.groupBy(*scope, "_key").agg(*last)
 

@@ -46,6 +46,5 @@ def prepare(df: DataFrame, names) -> DataFrame:
     for c in PROVENANCE:
         default = F.lit(None).cast("bigint") if c == "_record_num" else F.lit("")
         keep.append(F.col(c) if c in have else default.alias(c))
-    if "_fields" in have:
-        keep.append(F.col("_fields"))
+    keep += [F.col(c) for c in ("_fields", "_order") if c in have]
     return df.select(*keep, *[as_text(df, n).alias(n) for n in sorted(names)])

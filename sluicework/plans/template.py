@@ -82,8 +82,8 @@ class Template:
         return set().union(*(v.fields for v in parents)) if parents else set()
 
     def run(self, df: DataFrame) -> "Run":
-        if self.lookups and "_record_num" not in df.columns:
-            raise ValueError("lookups need _record_num to tell which row is the last one")
+        if self.lookups and not {"_record_num", "_order"} & set(df.columns):
+            raise ValueError("lookups need _record_num or _order to tell which row is the last one")
         with exact_names(df):
             return Run(self, prepare(df, self.fields()))
 
@@ -99,10 +99,12 @@ class Run:
 
     def _joined(self) -> DataFrame:
         t, df = self.template, self.source
-        blocks = Lookups(t.lookups)
+        blocks, sides = Lookups(t.lookups), {}
         for p in t._probes():
-            side = build_side(self.source, t.lookups[blocks.resolve(p.block)])
-            df = probe(df, side, p.probe, p.prefix)
+            name = blocks.resolve(p.block)
+            if name not in sides:  # one build side per block, whatever probes it
+                sides[name] = build_side(self.source, t.lookups[name])
+            df = probe(df, sides[name], p.probe, p.prefix)
         return df
 
     def _date_override(self) -> bool:

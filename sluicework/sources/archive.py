@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-import io
 import re
 import zipfile
-from dataclasses import dataclass
+import zlib
+from dataclasses import dataclass, replace
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch_dir
+from .columns import clean_positions
 from .files import list_files, open_random, spread
-from .text import TextSource, _stem, decode_bytes, parse_rows, split_line
+from .text import TextSource, _stem, decode_bytes, decode_column, parse_rows, split_line
 
-BATCH = 20000
+BLOCK = 1 << 20  # bytes inflated at once
 
 
 @dataclass(frozen=True)
@@ -31,8 +33,14 @@ def unsafe(name: str) -> bool:
     return name.startswith(("/", "\\")) or ".." in parts or bool(re.match(r"^[A-Za-z]:", name)) or "\0" in name
 
 
+MEMBER = "_zip string, _member string, _file string, status string, size long, at long, packed long, method int, crc long"
+
+
 def members(spark: SparkSession, src: ArchiveSource) -> DataFrame:
-    """One row per matching member with its status: ok, unsafe, encrypted or unsupported."""
+    """One row per matching member with its status (ok, unsafe, encrypted or unsupported) and its place in the archive.
+
+    The directory of an archive is read here and nowhere else.
+    """
     pattern, keep_path = src.entry_pattern, src.dir_mode == "keep_path"
 
     def read(batches):
@@ -50,11 +58,45 @@ def members(spark: SparkSession, src: ArchiveSource) -> DataFrame:
                             else "ok"
                         )
                         name = m.filename if keep_path else re.split(r"[/\\]", m.filename)[-1]
-                        rows.append((path, m.filename, name, status, m.file_size))
-            yield pd.DataFrame(rows, columns=["_zip", "_member", "_file", "status", "size"])
+                        rows.append((path, m.filename, name, status, m.file_size, m.header_offset, m.compress_size, m.compress_type, m.CRC))
+            yield pd.DataFrame(rows, columns=[x.split()[0] for x in MEMBER.split(", ")])
 
     files = spread(list_files(spark, src.path, src.suffix).select("path"), spark)
-    return files.mapInPandas(read, "_zip string, _member string, _file string, status string, size long")
+    return files.mapInPandas(read, MEMBER)
+
+
+def directory(spark: SparkSession, src: ArchiveSource) -> DataFrame:
+    """``members``, written once for all that is done with it."""
+    path = scratch_dir(spark, "archive")
+    members(spark, src).write.parquet(path)
+    return spark.read.schema(MEMBER).parquet(path)
+
+
+def inflated(f, at: int, packed: int, method: int, crc: int, name: str):
+    """The content of a member in pieces, read from its place on; a bad checksum is an error."""
+    f.seek(at)
+    head = bytes(f.read(30))
+    if head[:4] != b"PK\x03\x04":
+        raise zipfile.BadZipFile(f"no member at {at}: {name}")
+    f.seek(at + 30 + int.from_bytes(head[26:28], "little") + int.from_bytes(head[28:30], "little"))
+    inflate = zlib.decompressobj(-15) if method == zipfile.ZIP_DEFLATED else None
+    seen = 0
+    while packed > 0:
+        raw = bytes(f.read(min(packed, BLOCK)))
+        if not raw:
+            raise zipfile.BadZipFile(f"{name} ends early")
+        packed -= len(raw)
+        while raw:
+            piece = inflate.decompress(raw, BLOCK) if inflate else raw
+            raw = inflate.unconsumed_tail if inflate else b""
+            seen = zlib.crc32(piece, seen)
+            if piece:
+                yield piece
+    if inflate and (piece := inflate.flush()):
+        seen = zlib.crc32(piece, seen)
+        yield piece
+    if seen != crc:
+        raise zipfile.BadZipFile(f"bad checksum of {name}")
 
 
 def check_members(found: DataFrame) -> None:
@@ -66,36 +108,40 @@ def check_members(found: DataFrame) -> None:
         raise ValueError("unsafe or colliding archive members: " + ", ".join(r._file for r in bad))
 
 
-def member_lines(spark: SparkSession, src: ArchiveSource) -> DataFrame:
-    """The lines of every readable member, inflated as a stream; a bad checksum fails the task."""
-    keep = members(spark, src).filter("status = 'ok'").select("_zip", "_member", "_file")
+def member_lines(spark: SparkSession, src: ArchiveSource, found: DataFrame | None = None) -> DataFrame:
+    """The lines of every readable member. Tasks inflate blocks that end at a line end; the JVM decodes and splits them."""
+    keep = (members(spark, src) if found is None else found).filter("status = 'ok'")
 
     def read(batches):
         for pdf in batches:
-            for path, member, file in zip(pdf["_zip"], pdf["_member"], pdf["_file"]):
-                with open_random(path) as f, zipfile.ZipFile(f) as z, z.open(member) as body:
-                    buffered, n, out = io.BufferedReader(body, 1 << 20), 0, []
-                    for line in buffered:
-                        n += 1
-                        out.append(line.rstrip(b"\n").removesuffix(b"\r"))
-                        if len(out) == BATCH:
-                            yield _frame(path, member, file, out, n)
-                            out = []
-                    if out:
-                        yield _frame(path, member, file, out, n)
-
-    schema = "_path string, _file string, _line long, raw binary"
-    return spread(keep, spark, "_zip", "_member").mapInPandas(read, schema)
-
-
-def _frame(path, member, file, lines, last):
-    first = last - len(lines) + 1
-    if first == 1 and lines[0].startswith(b"\xef\xbb\xbf"):
-        lines[0] = lines[0][3:]
-    return pd.DataFrame({"_path": f"{path}!{member}", "_file": file, "_line": range(first, last + 1), "raw": lines})
-
-
-def member_headers(spark: SparkSession, src: ArchiveSource) -> DataFrame:
+            for path, own in pdf.groupby("_zip", sort=False):
+                with open_random(path) as f:
+                    for m in own.sort_values("at").itertuples(index=False):
+                        line, rest = 1, b""
+                        for piece in inflated(f, m.at, m.packed, m.method, m.crc, f"{path}!{m[1]}"):
+                            rest += piece
+                            cut = rest.rfind(b"\n") + 1
+                            if cut >= BLOCK:
+                                yield _frame(path, m[1], m[2], rest[:cut], line)
+                                line += rest.count(b"\n", 0, cut)
+                                rest = rest[cut:]
+                        if rest:
+                            yield _frame(path, m[1], m[2], rest, line)
+
+    blocks = spread(keep, spark, "_zip", "_member").mapInPandas(read, "_path string, _file string, _first long, raw binary")
+    text = decode_column(spark, blocks.withColumn("value", F.col("raw").cast("string")).drop("raw"), "value", src.text.encoding)
+    lines = text.select("_path", "_file", "_first", F.posexplode(F.split("value", "\n")).alias("_at", "value"))
+    value = F.when(F.col("value").endswith("\r"), F.left("value", F.char_length("value") - 1)).otherwise(F.col("value"))
+    return lines.select("_path", "_file", (F.col("_first") + F.col("_at")).alias("_line"), value.alias("value"))
+
+
+def _frame(path, member, file, body, first):
+    if first == 1:
+        body = body.removeprefix(b"\xef\xbb\xbf")
+    return pd.DataFrame({"_path": [f"{path}!{member}"], "_file": [file], "_first": [first], "raw": [body.removesuffix(b"\n")]})
+
+
+def member_headers(spark: SparkSession, src: ArchiveSource, found: DataFrame | None = None) -> DataFrame:
     """The header line of every readable member; inflation stops there."""
     t = src.text
     at, delimiter, quote, encoding = t.header_line, t.delimiter, t.quote, t.encoding
@@ -103,26 +149,31 @@ def member_headers(spark: SparkSession, src: ArchiveSource) -> DataFrame:
     def read(batches):
         for pdf in batches:
             rows = []
-            for path, member in zip(pdf["_zip"], pdf["_member"]):
-                line = b""
-                with open_random(path) as f, zipfile.ZipFile(f) as z, z.open(member) as body:
-                    for _ in range(at):
-                        line = body.readline()
-                line = line.rstrip(b"\r\n").removeprefix(b"\xef\xbb\xbf")
-                names = split_line(decode_bytes(line, encoding), delimiter, quote)
-                rows.append((f"{path}!{member}", [n.strip(" ") for n in names]))
+            for path, own in pdf.groupby("_zip", sort=False):
+                with open_random(path) as f:
+                    for m in own.sort_values("at").itertuples(index=False):
+                        top = b""
+                        for piece in inflated(f, m.at, m.packed, m.method, m.crc, f"{path}!{m[1]}"):
+                            top += piece
+                            if top.count(b"\n") >= at:
+                                break
+                        lines = top.split(b"\n")
+                        line = lines[at - 1] if len(lines) >= at else b""
+                        names = split_line(decode_bytes(line.rstrip(b"\r").removeprefix(b"\xef\xbb\xbf"), encoding), delimiter, quote)
+                        rows.append((f"{path}!{m[1]}", [n.strip(" ") for n in names]))
             yield pd.DataFrame(rows, columns=["_path", "_header"])
 
-    keep = members(spark, src).filter("status = 'ok'").select("_zip", "_member")
+    keep = (members(spark, src) if found is None else found).filter("status = 'ok'")
     return spread(keep, spark, "_zip", "_member").mapInPandas(read, "_path string, _header array<string>")
 
 
 def scan(spark: SparkSession, src: ArchiveSource) -> DataFrame:
     """All members of all archives as one table with provenance."""
-    check_members(members(spark, src))
+    found = directory(spark, src)
+    check_members(found)
     t = src.text
-    heads = member_headers(spark, src) if t.header_line > 0 else None
-    rows = member_lines(spark, src).withColumn("value", F.col("raw").cast("string")).drop("raw")
+    heads = member_headers(spark, src, found) if t.header_line > 0 else None
+    rows = member_lines(spark, src, found)
     rows = rows.filter((F.col("_line") > t.header_line) & (F.trim("value") != "")).withColumns(
         {
             "_record_num": F.col("_line") - t.header_line,
@@ -130,4 +181,5 @@ def scan(spark: SparkSession, src: ArchiveSource) -> DataFrame:
             "_sheet": F.lit(""),
         }
     )
-    return parse_rows(spark, rows, heads, t).drop("_line", "_path")
+    out = parse_rows(spark, rows, heads, replace(t, encoding="utf-8"))
+    return clean_positions(out, t.decimal_separator).drop("_line", "_path")

@@ -22,7 +22,8 @@ PYTHON_CODEC = {
     "ibm866": "cp866", "ibm437": "cp437", "ibm850": "cp850", "ibm852": "cp852", "macintosh": "mac_roman",
     "x-mac-cyrillic": "mac_cyrillic", "windows-874": "cp874", "iso-8859-8-i": "iso-8859-8",
 }
-NOT_IN_JVM = {"iso-8859-10", "iso-8859-14", "x-user-defined", "iso-8859-8-i", "x-mac-cyrillic", "macintosh", "windows-874"}
+NOT_IN_JVM = {"iso-8859-10", "iso-8859-14", "x-user-defined", "x-mac-cyrillic"}  # the last: another table there
+JVM_NAME = {"macintosh": "x-MacRoman", "windows-874": "x-windows-874", "iso-8859-8-i": "ISO-8859-8"}
 ENCODINGS = {
     "utf-8", "windows-1250", "windows-1252", "iso-8859-1", "iso-8859-2", "iso-8859-15", "ibm866", "iso-8859-3",
     "iso-8859-4", "iso-8859-5", "iso-8859-6", "iso-8859-7", "iso-8859-8", "iso-8859-8-i", "iso-8859-10",
@@ -85,7 +86,7 @@ def decode_column(spark: SparkSession, df: DataFrame, column: str, encoding: str
     with session_conf(
         spark, {"spark.sql.legacy.javaCharsets": "true", "spark.sql.legacy.codingErrorAction": "true"}
     ):
-        out = df.withColumn(column, F.decode(raw, encoding))
+        out = df.withColumn(column, F.decode(raw, JVM_NAME.get(encoding, encoding)))
         out.schema  # the options are read while the plan is analysed
         return out
 
@@ -279,6 +280,8 @@ def scan(spark: SparkSession, src: TextSource) -> DataFrame:
         rows = skip_first_line(rows, split_bound(spark, src.path, src.suffix))
     rows = rows.filter(F.trim("value") != "")
     out = clean_positions(parse_rows(spark, rows.withColumn("_sheet", F.lit("")), heads, src), src.decimal_separator)
+    if not src.record_numbers:  # where a row stands in its file, without numbering any
+        out = out.withColumn("_order", F.struct("_block", "_mid"))
     gone = [c for c in ("_line", "_mid", "_block", "_path") if c in out.columns]
     return out.drop(*gone)
 
@@ -308,6 +311,7 @@ def native_scan(spark: SparkSession, src: TextSource, seen) -> DataFrame:
     names = [c for c in (src.columns if src.columns is not None else at) if c in at]
     out = raw.select(
         name.alias("_file"), _stem(name, src.suffix).alias("_stem"), F.lit("").alias("_sheet"), held.alias("_fields"),
+        F.struct(F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_mid")).alias("_order"),
         *[clean_field(cells[at[n]], src.decimal_separator).alias(n) for n in names],
     )
     return clean_positions(out, src.decimal_separator)
