@@ -571,6 +571,5 @@ def _(spark, sf):
     return spark.read.schema("date string, ticker string, price string, fee string, note string, flag string").json(path)
 
 
-also("f_fields", "p_03_positional")
 also("f_filename", "s_09_file_name")
 also("f_sheet_name", "s_10_sheet_name")

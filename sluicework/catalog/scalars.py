@@ -21,6 +21,19 @@ _quot = "(2 * CAST(cents AS HUGEINT) * 10000000000 + q) // (2 * q)"
 scalars("x_03_divide", "items", lambda: {"unit": f("plain") / f("qty"), "bps": f("signed") / 10000, "none": f("plain") / (f("qty") - f("qty"))}, {
     "unit": D(_quot, 12), "bps": D("sc", 6), "none": "''",
 }, "k,ln")
+# Operands near 1e25 on either side, where Spark's own decimal rules run out of digits.
+scalars("x_02_multiply_wide", "goods", lambda: {
+    "part": fn.concat(f("k"), "0" * 20) * "0.01", "literal": fn.concat(f("k"), "0" * 20) * "0.000000000001",
+    "column": fn.concat(f("k"), "0" * 20) * fn.concat("0.0", f("size")), "less": -(fn.concat(f("k"), "0" * 20) * 1) + fn.concat(f("k"), "0" * 20),
+}, {
+    "part": "CASE WHEN k = 0 THEN '0' ELSE CAST(k AS VARCHAR) || repeat('0', 18) END", "literal": "CASE WHEN k = 0 THEN '0' ELSE CAST(k AS VARCHAR) || repeat('0', 8) END",
+    "column": "CASE WHEN k = 0 THEN '0' ELSE CAST(CAST(k AS HUGEINT) * CAST(size AS HUGEINT) AS VARCHAR) || repeat('0', 19 - length(size)) END", "less": "'0'",
+})
+scalars("x_03_divide_wide", "goods", lambda: {
+    "literal": fn.concat(f("k"), "0" * 20) / "3.2", "same": fn.concat(f("k"), "0" * 20, ".5") / fn.concat(f("k"), "0" * 20, ".5"),
+}, {
+    "literal": "CASE WHEN k = 0 THEN '0' ELSE CAST(k * 3125 AS VARCHAR) || repeat('0', 16) END", "same": "'1'",
+})
 scalars("x_04_negate", "items", lambda: {"v": -f("signed")}, {"v": D("-sc")}, "k,ln")
 scalars("x_05_concat", "items", lambda: {"v": fn.concat(f("flag"), "/", f("plain") * 1, "/", f("qty"))}, {
     "v": f"flag || '/' || {D('cents')} || '/' || qty"}, "k,ln")

@@ -273,3 +273,16 @@ def _(spark, sf):
         old.run(text.scan(spark, text.TextSource(csv, suffix=".txt", delimiter=";"))).output(),
         new.run(json_array.scan(spark, json_array.JsonSource(js, ".txt"))).output(),
     )
+
+
+@query("f_fields", f"WITH goods AS ({GOODS_SQL}) SELECT CAST(k AS VARCHAR) AS id, name, brand AS third, CASE WHEN k % 3 = 0 THEN type ELSE '' END AS fourth, '' AS none FROM goods")
+def _(spark, sf):
+    """Fields beyond the header, with and without quotes, trimmed like named ones."""
+    q = F.lit('"')
+    name = F.when(F.col("k") % 2 == 0, F.concat(q, "name", q)).otherwise(F.col("name"))
+    more = F.when(F.col("k") % 3 == 0, F.concat(F.lit(","), q, "type", q)).otherwise(F.lit(""))
+    df = goods(spark, sf).select(F.concat(F.col("k").cast("string"), F.lit(","), name, F.lit(",  "), "brand", F.lit(" "), more).alias("line"))
+    path = write_lines(spark, df, "id,name", "ffl")
+    t = Template("ff", {"id": f("id"), "name": fn.fields(2), "third": fn.fields(3), "fourth": fn.fields(4), "none": fn.fields(9)}, {n: n for n in ("id", "name", "third", "fourth", "none")})
+    halves = [text.scan(spark, text.TextSource(path, suffix=".txt", record_numbers=numbers)).filter(F.col("id").cast("long") % 4 == F.lit(0) if numbers else F.col("id").cast("long") % 4 != F.lit(0)) for numbers in (True, False)]
+    return union_all(*[t.run(half).output() for half in halves])
