@@ -14,15 +14,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .words import binary
+from .words import Slice, binary, ragged, slices
 
 CAPACITY = 4096
 #: Documents that are packed together; a task packs its rows group by group.
-GROUP_DOCS = 1024
+GROUP_DOCS = 512
 #: Longest piece that differencing moves; a longer rest of a document is cut into equal parts.
 MAX_PIECE = 1024
-#: Words longer than this are encoded each time; a worker keeps the first so many, which frequent words are among.
-CACHED_BYTES, CACHED_WORDS = 48, 1_000_000
+#: A worker keeps the ids of the first so many words and parts of words, which the frequent ones are among.
+#: Longer words are encoded each time; texts are worked on in slices of about SLICE_BYTES.
+CACHED_BYTES, CACHED_WORDS, CACHED_PARTS = 48, 800_000, 400_000
+SLICE_BYTES = 2 << 20
 END_ID = 2
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -48,9 +50,12 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        #: How the model spells the bytes of letters beyond ASCII.
+        self.shown = {i: level.pre_tokenize_str(chr(i))[0][0] for i in range(0xC0, 0x100)}
+        self.spelled = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
         self.end = np.array([END_ID], "<u4").tobytes()
-        self.words: dict[bytes, bytes] = {}
+        self.words: dict[int, bytes] = {}
         self.parts: dict[str, bytes] = {}
         self.plain = all(self.plain_word(w) == self.whole(w) for x in _PROBES for w in x.split() if _PLAIN.fullmatch(w) and "<|" not in w)
         self.by_words = all(b"".join(self.whole(w.decode()) for w in x.encode().split()) == self.whole(x) for x in _PROBES)
@@ -61,9 +66,10 @@ class Encoder:
     def part(self, text: str) -> bytes:
         found = self.parts.get(text)
         if found is None:
-            shown = text if text.isascii() else self.level.pre_tokenize_str(text)[0][0]
-            found = np.array([t.id for t in self.tokenizer.model.tokenize(shown)], "<u4").tobytes()
-            if len(self.parts) < CACHED_WORDS // 2:
+            shown = text if text.isascii() else text.translate(self.shown)
+            spelled = self.spelled
+            found = b"".join([spelled[t.id] for t in self.tokenizer.model.tokenize(shown)])
+            if len(self.parts) < CACHED_PARTS:
                 self.parts[text] = found
         return found
 
@@ -72,22 +78,38 @@ class Encoder:
 
     def word(self, word: bytes) -> bytes:
         text = word.decode()
-        short = len(word) <= CACHED_BYTES
-        found = self.plain_word(text) if short and self.plain and _PLAIN.fullmatch(text) and "<|" not in text else self.whole(text)
-        if short and len(self.words) < CACHED_WORDS:
-            self.words[word] = found
-        return found
-
-    def ids(self, text: bytes) -> bytes:
+        if len(word) <= CACHED_BYTES and self.plain and _PLAIN.fullmatch(text) and "<|" not in text:
+            return self.plain_word(text)
+        return self.whole(text)
+
+    def known(self, part: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of a slice's different words one after another, where each begins, how many it has, and which of them
+        each word of the slice is. Words are told apart by 64-bit fingerprints."""
+        marks, first, which = np.unique(part.hashes(), return_index=True, return_inverse=True)
+        names = marks.tolist()
+        found = list(map(self.words.get, names))
+        starts, ends, data = part.starts, part.ends, part.data
+        for i, x in enumerate(found):
+            if x is None:
+                at = first[i]
+                found[i] = x = self.word(data[starts[at] : ends[at]].tobytes())
+                if len(self.words) < CACHED_WORDS and len(x) <= CACHED_BYTES:
+                    self.words[names[i]] = x
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        return np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes, sizes, which
+
+    def ids(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text."""
         if not self.by_words:
-            return self.whole(text.decode()) + self.end
-        words = text.split()
-        try:
-            return b"".join(map(self.words.__getitem__, words)) + self.end
-        except KeyError:
-            pass
-        known, word = self.words.get, self.word
-        return b"".join([known(w) or word(w) for w in words]) + self.end
+            return [self.whole((t.as_py() or b"").decode()) + self.end for t in binary(texts)]
+        out = []
+        for part in slices(texts, lower=False, size=SLICE_BYTES):
+            flat, begin, sizes, which = self.known(part)
+            lengths = sizes[which]
+            tokens = flat[ragged(begin[which], lengths)]
+            cuts = np.concatenate(([0], np.cumsum(lengths)))[part.bounds].tolist()
+            out += [tokens[x:y].tobytes() + self.end for x, y in zip(cuts, cuts[1:], strict=False)]
+        return out
 
 
 def encoder(path: str) -> Encoder:
@@ -206,12 +228,13 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
             return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in out], schema.names)
 
         for batch in batches:
-            texts = binary(batch.column(1))
-            for i in range(len(texts)):
-                names.append(batch.column(0).slice(i, 1))
-                held.append(encode(texts[i].as_py()))
-                if len(held) == group_docs:
-                    yield flush()
+            for i in range(0, batch.num_rows, group_docs):
+                part = batch.slice(i, group_docs)
+                for k, ids in enumerate(encode(part.column(1))):
+                    names.append(part.column(0).slice(k, 1))
+                    held.append(ids)
+                    if len(held) == group_docs:
+                        yield flush()
         if held:
             yield flush()
 

@@ -5,6 +5,7 @@ import zlib
 
 import fixtures as fx
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from sluicework.llm import packing, quality
@@ -117,9 +118,11 @@ def test_encoder_equals_whole_texts(name):
     encode = packing.Encoder(tokenizer_path(name))
     rng = random.Random(4)
     signs = "ab EÉßñ\n\t .,'#%1234’—<|> ́İſ日本\x1c\x85\x0b"
+    texts = ["", None]
     for _ in range(300):
         text = "".join(rng.choice(signs) for _ in range(rng.randint(0, 60))) + rng.choice(["", "<|endoftext|>", " don't we'll "])
-        assert encode.ids(text.encode()) == encode.whole(text) + encode.end
+        texts.append(text)
+    assert encode.ids(pa.array(texts)) == [encode.whole(t or "") + encode.end for t in texts]
 
 
 # --- quality
