@@ -62,4 +62,4 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 def without(docs: DataFrame, gone: DataFrame, row_bytes: int = 16) -> DataFrame:
     """The rows of docs whose key is not in gone (a table of the key columns alone); all columns of docs stay."""
     keys = gone.columns
-    return docs.join(small(written(gone.distinct(), "dropped"), row_bytes), keys, "left_anti").select(*docs.columns)
+    return docs.join(small(written(gone.distinct(), "dropped", texts=True), row_bytes), keys, "left_anti").select(*docs.columns)
