@@ -76,6 +76,31 @@ def test_near_large_group(spark, leaf):
     assert {r.doc_id: r.component_id for r in got} == roots
 
 
+@pytest.mark.parametrize("shape", ["star", "template"])
+def test_near_group_of_many_blocks(spark, shape):
+    """Groups of many blocks below the limit: all links through one source, or twins that share a template."""
+    import random
+
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(3000)]
+    base = [rng.choice(words) for _ in range(200)]
+    rows = [(500, " ".join(base))]
+    for i in range(240):
+        w = list(base)
+        if shape == "star":
+            for at in (20, 70, 120, 170):
+                w[at + rng.randint(-15, 15)] = rng.choice(words)
+        else:
+            own = random.Random(i // 2)
+            w[150:] = [own.choice(words) for _ in range(50)]
+            w[10 + i % 2] = rng.choice(words)
+        rows.append((i, " ".join(w)))
+    roots = fx.near_groups(rows)
+    assert len(set(roots.values())) == (1 if shape == "star" else 121)
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), leaf=8, block=16).collect()
+    assert {r.doc_id: r.component_id for r in got} == roots
+
+
 def test_near_empty(docs):
     assert near_duplicates(docs.limit(0)).count() == 0
 
