@@ -35,7 +35,8 @@ _RAW = frozenset("script style noscript template iframe noembed noframes title t
 _ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
 _STOPS = frozenset(("table", "ul", "ol", "dl", "td", "th", "body", "html", "article", "main", "section", "div", "nav", "aside", "footer", "header", "form", "blockquote", "figure"))
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</?([a-zA-Z][^\s/>]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*+)>|[^<]+|<", re.S)
+#: A quote counts only where a value begins and if it has a partner; any other ends with its tag.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</?([a-zA-Z][^\s/>]*)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*+)?+)?+)*+)>|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _SPACE = re.compile(r"\s+")
 #: Name parts of classes, ids and roles.
@@ -105,8 +106,11 @@ def parse(html: str) -> Page:
             if text[0] == "<":
                 if text != "<":
                     continue
-                if pos < n and html[pos].isalpha() or html.startswith("/", pos):  # a tag that never ends
-                    break
+                if re.match("[a-zA-Z/]", html[pos : pos + 1]):  # no tag, as in "</3>", or one whose last quote never ends
+                    pos = html.find(">", pos) + 1
+                    if not pos:
+                        break
+                    continue
             if not mute:
                 if "&" in text:
                     text = entities.unescape(text)

@@ -74,6 +74,22 @@ def test_pages_table_cases(spark):
     assert extract(spark, df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "tag", ["<p title=it's>", "<p title=\"Tom\"s\">", "<p it's>", "<p title='never closed>", "<p title=\"a>b\" x='>' y = \"c>\">", "<p title=a=\"b>", "</3><p>", "</ it's><p>", "<p class=x/>", "<p title=it's class='y'>"]
+)
+@pytest.mark.parametrize("rest", ["", "<p>four \"quoted\" words</p>"])
+def test_odd_quotes_end_with_their_tag(tag, rest):
+    page = parse(f"<p>one</p>{tag}two</p><p>three</p>{rest}")
+    assert [text for _, text in page.runs] == ["one", "two", "three", *(['four "quoted" words'] if rest else [])]
+
+
+def test_tags_that_never_end():
+    assert [text for _, text in parse("<p>one</p><p title=\"x>two").runs] == ["one", "two"]
+    assert [text for _, text in parse("<p>one</p><p>two</p><a title='x>y' three").runs][:2] == ["one", "two"]
+    assert [text for _, text in parse("<p>one</p><a href=x three").runs] == ["one"]
+    assert [text for _, text in parse("<p>1 < 2 <é <</p>").runs] == ["1 < 2 <é <"]
+
+
 # --- chat
 
 
