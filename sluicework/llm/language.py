@@ -14,9 +14,12 @@ from pyspark.sql import types as T
 from .tables import small, written
 from .words import slices
 
-#: Rows the letter model is fitted on, about, and languages it may hold.
-SAMPLE_ROWS, LANGUAGES = 6000, 32
+#: Different texts of each language that the letter model is fitted on, about.
+LANGUAGE_ROWS = 600
 BUCKETS = 1 << 15
+#: Count that each bucket has beforehand; trigrams a language needs to be in the model (fewer are a stray label), and
+#: to say that a text is known: with fewer, any text is nearly as likely as in a uniform model.
+BEFORE, FEW, ENOUGH = 0.05, 100, BUCKETS // 20
 #: Letter trigrams overlap, so a text counts as at most so many independent ones.
 EVIDENCE = 60
 #: Weight, in documents, of the level above: all documents for a domain, the domain for a host.
@@ -45,19 +48,21 @@ def trigrams(part) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Letters:
-    """Log probability of each trigram bucket in each language."""
+    """Log probability of each trigram bucket in each language, and which languages can say that a text is known."""
 
     languages: list[str]
     table: np.ndarray
+    enough: np.ndarray
 
 
-def learn_letters(docs: DataFrame, text_col: str, label: Column, sample_rows: int = SAMPLE_ROWS) -> Letters:
-    """Trigram counts of a sample of about sample_rows labelled rows, chosen by a hash of the text. Each task counts
-    what it reads; the driver gets one number for each language and bucket."""
-    labelled = docs.select(label.alias("label"), F.col(text_col).alias("t")).where("label IS NOT NULL AND t IS NOT NULL")
-    common = [r.label for r in labelled.groupBy("label").count().orderBy(F.desc("count"), "label").limit(LANGUAGES).collect()]
-    share = sample_rows / max(1, docs.count())
-    chosen = labelled.where(F.pmod(F.xxhash64("t"), F.lit(1_000_000)) < int(1_000_000 * share) + 1).where(F.col("label").isin(common))
+def learn_letters(docs: DataFrame, text_col: str, label: Column, language_rows: int = LANGUAGE_ROWS) -> Letters:
+    """Trigram counts of about language_rows different texts of each label, those with the smallest hashes, and of all
+    if it has fewer. Each task counts what it reads; the driver gets one number for each language and bucket."""
+    labelled = docs.select(label.alias("label"), F.col(text_col).alias("t")).where("label IS NOT NULL AND t IS NOT NULL").withColumn("h", F.xxhash64("t"))
+    shares = labelled.groupBy("label").agg((F.lit(float(language_rows)) / F.approx_count_distinct("h")).alias("share"))
+    shares = written(shares, "label_shares")
+    chosen = labelled.join(small(shares, 24), "label").where(F.pmod("h", F.lit(1 << 30)) < F.col("share") * float(1 << 30))
+    chosen = chosen.groupBy("label", "h").agg(F.first("t").alias("t")).select("label", "t")
     schema = T.StructType([T.StructField("label", T.StringType()), T.StructField("bucket", T.IntegerType()), T.StructField("n", T.LongType())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,13 +79,19 @@ def learn_letters(docs: DataFrame, text_col: str, label: Column, sample_rows: in
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(full), pa.string()), pa.array(full.astype(np.int32)), pa.array(numbers[full])], schema.names)
 
     counted = chosen.mapInArrow(count, schema).groupBy("label", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    languages = sorted(common)
-    table = np.full((BUCKETS, len(languages)), 0.05)
-    if counted.num_rows:
-        place = {name: i for i, name in enumerate(languages)}
-        at = np.array([place[x] for x in counted.column("label").to_pylist()])
-        table[counted.column("bucket").to_numpy(), at] += counted.column("n").to_numpy()
-    return Letters(languages, np.log(table / table.sum(0)).astype(np.float32))
+    names = np.array(counted.column("label").to_pylist(), object)
+    languages, at = np.unique(names, return_inverse=True) if len(names) else (names, np.zeros(0, np.int64))
+    bucket, n = counted.column("bucket").to_numpy(), counted.column("n").to_numpy()
+    total = np.bincount(at, weights=n, minlength=len(languages))
+    # Of few texts all languages are taken as they are.
+    kept = np.flatnonzero(total >= (FEW if (total >= ENOUGH).any() else 1))
+    place = np.full(len(languages), -1)
+    place[kept] = np.arange(len(kept))
+    mine = place[at] >= 0
+    table = np.full((BUCKETS, len(kept)), BEFORE)
+    table[bucket[mine], place[at[mine]]] += n[mine]
+    enough = total[kept] >= ENOUGH
+    return Letters(languages[kept].tolist(), np.log(table / table.sum(0)).astype(np.float32), enough if enough.any() else ~enough)
 
 
 def language_code(text: Column) -> Column:
@@ -113,7 +124,7 @@ def identify(docs: DataFrame, keys: list[str], text_col: str = "text", declared:
     row, and only those rows are joined.
 
     A text without letter trigrams, or one whose letters are less likely in
-    every language than in a uniform model, is UNKNOWN. kept is false for those
+    every language of ENOUGH trigrams than in a uniform model, is UNKNOWN. kept is false for those
     and where no language reaches a half. Null texts count as empty. Null
     declarations, addresses and hosts are no evidence. Labels are those of
     `label`, by default the declared ones. Rows that repeat are judged alike.
@@ -121,7 +132,7 @@ def identify(docs: DataFrame, keys: list[str], text_col: str = "text", declared:
     none = F.lit(None).cast("string")
     declared = none if declared is None else language_code(declared)
     letters = learn_letters(docs, text_col, declared if label is None else label) if letters is None else letters
-    names, model = letters.languages, docs.sparkSession.sparkContext.broadcast(letters.table)  # BUCKETS x LANGUAGES at most
+    names, enough, model = letters.languages, letters.enough, docs.sparkSession.sparkContext.broadcast(letters.table)  # BUCKETS x languages
     k = len(names)
     if not k:
         return docs.select(*keys, F.lit(UNKNOWN).alias("language"), F.lit(0.0).alias("probability"), F.lit(False).alias("kept"))
@@ -141,7 +152,7 @@ def identify(docs: DataFrame, keys: list[str], text_col: str = "text", declared:
                 sums = np.stack([np.bincount(text, weights=model.value[bucket, j], minlength=n) for j in range(k)], 1)
                 mean = sums / np.maximum(count, 1)[:, None]
                 lean = mean * np.minimum(count, EVIDENCE)[:, None]
-                best = np.where(count > 0, mean.max(1), -np.inf)
+                best = np.where(count > 0, mean[:, enough].max(1), -np.inf)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, k * n + 1, k, dtype=np.int32)), pa.array((lean - lean.max(1, keepdims=True)).ravel()))
                 yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(part.first, n) for i in range(5)], flat, pa.array(best)], schema.names)
 

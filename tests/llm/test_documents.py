@@ -165,6 +165,20 @@ def test_language_of_documents(spark):
     assert got.join(truth, "doc_id").where("kept AND lang = language").count() == truth.count()
 
 
+def test_many_and_rare_languages(spark):
+    """40 languages with letters of their own, the last with 15 texts of 16,000; random letters stay unknown."""
+    rng = random.Random(4)
+    codes = [f"{a}{b}" for a in "abcd" for b in "klmnopqrst"]
+    words = {c: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(4)) for _ in range(30)] for c in codes}
+    rows = [(i, " ".join(rng.choices(words[c], k=40)), c) for i, c in enumerate(c for c in codes for _ in range(15 if c == codes[-1] else 410))]
+    odd = (-1, "".join(rng.choice("àèìòùâêîôû") for _ in range(300)), None)
+    stray = (-2, "q1 2 3", "zz")
+    df = spark.createDataFrame([*rows, odd, stray], "doc_id long, t string, lang string")
+    got = {r.doc_id: r for r in identify(df, ["doc_id"], "t", F.col("lang")).collect()}
+    assert all(got[i].language == c and got[i].kept for i, _, c in rows)
+    assert got[-1].language == "und" and not got[-1].kept
+
+
 def test_language_without_declaration(spark):
     """The letters alone, and what a wrong declaration does against them."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
