@@ -12,6 +12,8 @@ from ..session import scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: Lines of a JSON array file, about: one task makes it and one reads it.
+ARRAY_LINES = 10_000
 
 
 def query(name: str, sql: str | None = None):
@@ -35,7 +37,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def write_json_arrays(spark, lines: DataFrame, label: str, other_items: str = "") -> str:
     """Files that hold one JSON array each, made from the texts of ``line``; returns the folders' pattern."""
     path = scratch_dir(spark, label)
-    bucket = F.pmod(F.xxhash64("line"), F.lit(4))
+    files = max(4, -(-lines.count() // ARRAY_LINES))
+    bucket = F.pmod(F.xxhash64("line"), F.lit(files))
     body = F.concat(F.lit("[" + other_items), F.array_join(F.collect_list("line"), ",\n"), F.lit("]"))
     lines.groupBy(bucket.alias("b")).agg(body.alias("line")).write.partitionBy("b").text(path)
     return f"{path}/*"

@@ -165,3 +165,13 @@ def test_workbook(spark, tmp_path):
     ]
     assert workbook.serial_text(-1) is None and workbook.serial_text(1e308) is None
     assert workbook.number_text("1.5E-3") == "0.0015"
+
+
+def test_array_files_grow_with_the_lines(spark):
+    from sluicework.catalog.base import ARRAY_LINES, write_json_arrays
+
+    n = 6 * ARRAY_LINES
+    path = write_json_arrays(spark, spark.range(n).select(F.format_string('{"k": %d}', "id").alias("line")), "grow")
+    read = json_array.scan(spark, json_array.JsonSource(path, ".txt"))
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("f"), F.size(F.split("value", ",\n")).alias("n")).collect()
+    assert read.select("k").distinct().count() == n and len(files) == 6 and max(r.n for r in files) < 1.1 * ARRAY_LINES
