@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from . import dates, logic, mapping, numbers
 from .text import (
-    contains, ends_with, left, len_, lower, lpad, position, right, rpad, split_part, starts_with, substr, trim, upper,
+    contains, ends_with, left, len_, lower, lpad, position, right, rpad, split_part, starts_with, substr, trim, unaccent_body, upper,
 )
 from .values import (
-    add, and_, canonical_text, compare, concat, eq, neg, not_, or_, register_functions, sub, text, text_to_num, val,
+    add, and_, canonical_text, compare, concat, eq, neg, not_, or_, register_functions, spelled_out, sub, text, text_to_num, val,
 )
 
 _NUMERIC_TEXT = "a b c d e".split()
@@ -60,6 +60,11 @@ def _body(spark, col) -> str:
 def register_sql(spark: SparkSession, names=None, prefix: str = "sw_") -> list[str]:
     """Create the functions (all, or the named ones); arguments and results are text. Returns the names."""
     register_functions(spark)
+    with spelled_out():
+        return _register(spark, names, prefix)
+
+
+def _register(spark: SparkSession, names, prefix: str) -> list[str]:
     made = []
     for name, (build, n) in _catalogue().items():
         if names is not None and name not in names:
@@ -92,6 +97,8 @@ def register_sql(spark: SparkSession, names=None, prefix: str = "sw_") -> list[s
         "w -> concat(upper(substring(w, 1, 1)), substring(w, 2))), '')"
     )
     made.append(prefix + "proper")
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {prefix}unaccent(c STRING) RETURNS STRING RETURN {unaccent_body()}")
+    made.append(prefix + "unaccent")
     spark.sql(
         f"CREATE OR REPLACE TEMPORARY FUNCTION {prefix}canonical(a STRING) RETURNS STRING RETURN {_body(spark, canonical_text(F.col('a')))}"
     )

@@ -142,18 +142,27 @@ def _unaccent_tables() -> tuple[str, str, dict[str, str]]:
     return "".join(src + gone), "".join(dst), longer
 
 
-def unaccent(s):
-    """Strip marks and spell out ligatures, all inside the JVM; pure ASCII text is left alone."""
-    s = text_arg(s, "unaccent")
+def _literal(s: str) -> str:
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def unaccent_body() -> str:
     src, dst, longer = _unaccent_tables()
-    out = s.col
-    multi = "[" + "".join(longer) + "]"
-    swapped = out
+    swapped = "c"
     for ch, repl in longer.items():
-        swapped = F.replace(swapped, F.lit(ch), F.lit(repl))
-    out = F.when(out.rlike(multi), swapped).otherwise(out)
-    out = F.translate(out, src, dst)
-    return derive(F.when(F.octet_length(s.col) == F.length(s.col), s.col).otherwise(out), TEXT, s)
+        swapped = f"replace({swapped}, {_literal(ch)}, {_literal(repl)})"
+    multi = _literal("[" + "".join(longer) + "]")
+    return f"CASE WHEN octet_length(c) = char_length(c) THEN c ELSE translate(CASE WHEN c RLIKE {multi} THEN {swapped} ELSE c END, {_literal(src)}, {_literal(dst)}) END"
+
+
+def unaccent(s):
+    """Strip marks and spell out ligatures, all inside the JVM; pure ASCII text is left alone. The text is bound once."""
+    s = text_arg(s, "unaccent")
+    spark = active_session()
+    if not getattr(spark, "_sluicework_unaccent", False):
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION sw_plain_letters(c STRING) RETURNS STRING RETURN {unaccent_body()}")
+        spark._sluicework_unaccent = True
+    return derive(F.call_function("sw_plain_letters", s.col), TEXT, s)
 
 
 def contains(h, n):

@@ -9,7 +9,9 @@ function until ``iferror`` or the output edge turns it into text.
 
 from __future__ import annotations
 
+import contextlib
 import re
+from contextvars import ContextVar
 from dataclasses import dataclass, field as _field
 from decimal import ROUND_HALF_UP, Context, Decimal
 from functools import reduce
@@ -31,6 +33,8 @@ ZERO = r"^(0|[+-]0*)?\.0*$"
 TRIMMABLE = r"^(?!0[0-9])[+-]?([0-9]{1,26}\.[0-9]*|\.[0-9]+)$"
 BLANKS = " \t\r\n"
 
+_spelled: ContextVar[bool] = ContextVar("spelled", default=False)
+
 
 @dataclass(frozen=True, eq=False)
 class Val:
@@ -168,14 +172,25 @@ def parse_number(s: str) -> Decimal | None:
 
 
 def text_to_num(c: Column) -> Column:
+    """The number a text stands for. The text is bound once, however long its expression is."""
+    if not _spelled.get():
+        return _call("sw_num", c)
     return F.coalesce(
         c.try_cast(NUM),
-        F.when((c == "") | c.rlike(NON_FINITE), F.lit(0).cast(NUM)).when(
-            c.rlike(GROUPED), F.replace(c, F.lit(","), F.lit("")).try_cast(NUM)
-        ),
+        F.when((c == "") | c.rlike(NON_FINITE), F.lit(0).cast(NUM)).when(c.rlike(GROUPED), F.replace(c, F.lit(","), F.lit("")).try_cast(NUM)),
     )
 
 
+@contextlib.contextmanager
+def spelled_out():
+    """Inside, values are single expressions without bound arguments, as the body of an SQL function needs them."""
+    token = _spelled.set(True)
+    try:
+        yield
+    finally:
+        _spelled.reset(token)
+
+
 def num(x) -> Column:
     """The decimal reading of a value; NULL where it is not a number."""
     v = val(x)
@@ -248,66 +263,67 @@ def canonical(x) -> Column:
 
 # ---------------------------------------------------------------- arithmetic
 
-# Spark cuts the scale of wide decimal products. These two functions are created
-# while full precision is switched on and keep that choice; their arguments are
-# bound once, so a nested formula stays linear in size.
+# Spark cuts the scale of wide decimal products. These functions are created with or without
+# full precision and keep that choice. A function's arguments become columns of a projection
+# below it, so what a body reads twice is computed once and a nested formula stays linear in size.
+# The steps for wide operands get NULLs from all other rows, which pass through them untouched.
+_WIDE = "DECIMAL(38,12)"
 _SQL_FUNCTIONS = {
+    # name: (arguments, result, whether precision may be lost, body)
     # Spark's own abs and minus round wide negative numbers to 34 digits.
-    "sw_exact_neg": """
-      CREATE OR REPLACE TEMPORARY FUNCTION sw_exact_neg(a DECIMAL(38,12)) RETURNS DECIMAL(38,12) RETURN 0 - a""",
-    "sw_exact_abs": """
-      CREATE OR REPLACE TEMPORARY FUNCTION sw_exact_abs(a DECIMAL(38,12))
-      RETURNS DECIMAL(38,12) RETURN CASE WHEN a < 0 THEN 0 - a ELSE a END""",
-    "sw_mul": """
-      CREATE OR REPLACE TEMPORARY FUNCTION sw_mul(a DECIMAL(38,12), b DECIMAL(38,12))
-      RETURNS DECIMAL(38,12) RETURN coalesce(
-        try_cast(try_multiply(try_cast(a AS DECIMAL(26,12)), try_cast(b AS DECIMAL(26,12))) AS DECIMAL(38,12)),
-        try_cast(try_add(
-          try_add(
-            try_cast(try_multiply(sw_whole(a), sw_whole(b)) AS DECIMAL(38,12)),
-            try_cast(try_multiply(sw_whole(a), sw_rest(b)) AS DECIMAL(38,12))),
-          try_add(
-            try_cast(try_multiply(sw_rest(a), sw_whole(b)) AS DECIMAL(38,12)),
-            try_cast(try_multiply(sw_rest(a), sw_rest(b)) AS DECIMAL(38,12)))
-        ) AS DECIMAL(38,12)))""",
-    "sw_whole": """
-      CREATE OR REPLACE TEMPORARY FUNCTION sw_whole(a DECIMAL(38,12))
-      RETURNS DECIMAL(26,0) RETURN CASE WHEN a < 0 THEN try_cast(ceil(a) AS DECIMAL(26,0)) ELSE try_cast(floor(a) AS DECIMAL(26,0)) END""",
-    "sw_rest": """
-      CREATE OR REPLACE TEMPORARY FUNCTION sw_rest(a DECIMAL(38,12))
-      RETURNS DECIMAL(12,12) RETURN try_cast(a - sw_whole(a) AS DECIMAL(12,12))""",
-}
-# Division keeps Spark's default rule: 26 integer digits leave exactly 12 for the fraction,
-# so the quotient is rounded once. Operands that are too wide for that take long division:
-# whole units first, then the twelve digits of what is left; its sums keep full precision.
-_SQL_DIVISION = {
-    "sw_exact_floor": """
-      CREATE OR REPLACE TEMPORARY FUNCTION sw_exact_floor(a DECIMAL(38,12), b DECIMAL(38,12))
-      RETURNS DECIMAL(26,0) RETURN greatest(try_cast(floor(try_divide(a, b) - 0.000001) AS DECIMAL(26,0)), CAST(0 AS DECIMAL(26,0)))""",
-    "sw_exact_near": """
-      CREATE OR REPLACE TEMPORARY FUNCTION sw_exact_near(t DECIMAL(38,12), b DECIMAL(38,12), d DECIMAL(26,0))
-      RETURNS DECIMAL(26,0) RETURN try_cast(d + CASE
-        WHEN 2 * (t - sw_mul(d, b)) >= 3 * b THEN 2 WHEN 2 * (t - sw_mul(d, b)) >= b THEN 1 ELSE 0 END AS DECIMAL(26,0))""",
-    "sw_exact_digits": """
-      CREATE OR REPLACE TEMPORARY FUNCTION sw_exact_digits(r DECIMAL(38,12), b DECIMAL(38,12), s DECIMAL(13,0))
-      RETURNS DECIMAL(26,0) RETURN CASE
-        WHEN b < 10000000000000 THEN sw_exact_near(sw_mul(r, 1000000000000), b, sw_exact_floor(sw_mul(r, 1000000000000), b))
-        ELSE try_cast(1000000000000 * try_divide(try_cast(floor(r * s) AS DECIMAL(26,0)), try_cast(floor(b * s) AS DECIMAL(26,0))) AS DECIMAL(26,0)) END""",
-    "sw_exact_long": """
-      CREATE OR REPLACE TEMPORARY FUNCTION sw_exact_long(a DECIMAL(38,12), b DECIMAL(38,12), q DECIMAL(26,0))
-      RETURNS DECIMAL(38,12) RETURN try_cast(q + CAST(sw_exact_digits(a - sw_mul(q, b), b,
-        try_cast(pow(10, greatest(0, 24 - floor(log10(CAST(b AS DOUBLE))))) AS DECIMAL(13,0))) AS DECIMAL(14,0)) * 0.000000000001BD AS DECIMAL(38,12))""",
-    "sw_div": """
-      CREATE OR REPLACE TEMPORARY FUNCTION sw_div(a DECIMAL(38,12), b DECIMAL(38,12))
-      RETURNS DECIMAL(38,12) RETURN CASE
-        WHEN abs(a) < 100000000000000 THEN try_divide(try_cast(a AS DECIMAL(26,12)), b)
-        WHEN b = floor(b) AND abs(b) < 1000000000000000000 THEN try_divide(a, try_cast(b AS DECIMAL(18,0)))
-        WHEN b * 1000000 = floor(b * 1000000) AND abs(b) < 1000000000000 AND abs(a) < 100000000000000000000 THEN
-          try_divide(try_cast(a AS DECIMAL(32,12)), try_cast(b AS DECIMAL(18,6)))
-        WHEN b = 0 THEN NULL
-        WHEN (a < 0) = (b < 0) THEN sw_exact_long(sw_exact_abs(a), sw_exact_abs(b), sw_exact_floor(sw_exact_abs(a), sw_exact_abs(b)))
-        ELSE sw_exact_neg(sw_exact_long(sw_exact_abs(a), sw_exact_abs(b), sw_exact_floor(sw_exact_abs(a), sw_exact_abs(b)))) END""",
-}
+    "sw_exact_neg": ("a W", "W", False, "0 - a"),
+    "sw_exact_abs": ("a W", "W", False, "CASE WHEN a < 0 THEN 0 - a ELSE a END"),
+    "sw_num": (
+        "c STRING", "W", True,
+        f"coalesce(try_cast(c AS W), CASE WHEN c = '' OR c RLIKE r'{NON_FINITE}' THEN 0 WHEN c RLIKE r'{GROUPED}' THEN try_cast(replace(c, ',', '') AS W) END)",
+    ),
+    "sw_optional_text": (
+        "missing BOOLEAN, x W", "STRING", True, "CASE WHEN missing THEN '' WHEN NOT missing THEN rtrim('.', rtrim('0', CAST(x AS STRING))) END",
+    ),
+    "sw_optional_num": ("missing BOOLEAN, x W", "W", True, "CASE WHEN missing THEN 0 WHEN NOT missing THEN x END"),
+    # Products: at once where both sides have 14 whole digits at most, else by whole parts and rests.
+    "sw_mul_sum": (
+        "w DECIMAL(26,0), v DECIMAL(26,0), r DECIMAL(12,12), s DECIMAL(12,12)", "W", False,
+        "try_cast(try_add(try_add(try_cast(try_multiply(w, v) AS W), try_cast(try_multiply(w, s) AS W)), try_add(try_cast(try_multiply(r, v) AS W), try_cast(try_multiply(r, s) AS W))) AS W)",
+    ),
+    "sw_mul_parts": ("a W, b W, w DECIMAL(26,0), v DECIMAL(26,0)", "W", False, "sw_mul_sum(w, v, try_cast(a - w AS DECIMAL(12,12)), try_cast(b - v AS DECIMAL(12,12)))"),
+    "sw_mul_wide": (
+        "a W, b W", "W", False,
+        "sw_mul_parts(a, b, CASE WHEN a < 0 THEN try_cast(ceil(a) AS DECIMAL(26,0)) ELSE try_cast(floor(a) AS DECIMAL(26,0)) END, CASE WHEN b < 0 THEN try_cast(ceil(b) AS DECIMAL(26,0)) ELSE try_cast(floor(b) AS DECIMAL(26,0)) END)",
+    ),
+    "sw_mul_or": ("a W, b W, p W", "W", False, "coalesce(p, sw_mul_wide(CASE WHEN p IS NULL THEN a END, CASE WHEN p IS NULL THEN b END))"),
+    "sw_mul": ("a W, b W", "W", False, "sw_mul_or(a, b, try_cast(try_multiply(try_cast(a AS DECIMAL(26,12)), try_cast(b AS DECIMAL(26,12))) AS W))"),
+    # Quotients: a dividend of 14 whole digits leaves exactly 12 digits for the fraction under Spark's own rule, so the
+    # quotient is rounded once. Wider ones take long division: whole units (q), then twice six digits (d, e) of what is
+    # left (r). Each step may be one unit short (-1 for 0), which the next one makes good. Divisors of 20 and more whole digits
+    # leave no room for exact rests: there the twelve digits come from the first 25 digits of both sides.
+    "sw_div_end": (
+        "y W, minus BOOLEAN, q DECIMAL(26,0), d DECIMAL(26,0), t W, e DECIMAL(26,0), near DECIMAL(14,0)", "W", False,
+        """try_cast((CASE WHEN minus THEN -1 ELSE 1 END) * try_cast(q + 0.000000000001BD * CAST(coalesce(near, d * 1000000 + e
+          + CASE WHEN 2 * (t - e * y) >= 3 * y THEN 2 WHEN 2 * (t - e * y) >= y THEN 1 ELSE 0 END) AS DECIMAL(14,0)) AS W) AS W)""",
+    ),
+    "sw_div_second": (
+        "y W, minus BOOLEAN, q DECIMAL(26,0), r W, d DECIMAL(26,0), t W", "W", True,
+        """sw_div_end(y, minus, q, d, t, try_cast(floor(try_divide(t, y) - 0.000001) AS DECIMAL(26,0)),
+          CASE WHEN y >= 10000000000000000000BD THEN try_cast(1000000000000 * try_divide(
+            try_cast(floor(r * CAST(pow(10, greatest(0, 24 - floor(log10(CAST(y AS DOUBLE))))) AS DECIMAL(6,0))) AS DECIMAL(26,0)),
+            try_cast(floor(y * CAST(pow(10, greatest(0, 24 - floor(log10(CAST(y AS DOUBLE))))) AS DECIMAL(6,0))) AS DECIMAL(26,0))) AS DECIMAL(14,0)) END)""",
+    ),
+    "sw_div_left": ("y W, minus BOOLEAN, q DECIMAL(26,0), r W, t W, d DECIMAL(26,0)", "W", False, "sw_div_second(y, minus, q, r, d, try_cast(try_multiply(t - d * y, 1000000BD) AS W))"),
+    "sw_div_first": (
+        "y W, minus BOOLEAN, q DECIMAL(26,0), r W, t W", "W", True,
+        "sw_div_left(y, minus, q, r, t, try_cast(floor(try_divide(t, y) - 0.000001) AS DECIMAL(26,0)))",
+    ),
+    "sw_div_six": ("y W, minus BOOLEAN, q DECIMAL(26,0), r W", "W", False, "sw_div_first(y, minus, q, r, CASE WHEN y < 10000000000000000000BD THEN try_cast(try_multiply(r, 1000000BD) AS W) END)"),
+    "sw_div_rest": ("x W, y W, minus BOOLEAN, q DECIMAL(26,0)", "W", False, "sw_div_six(y, minus, q, try_cast(try_subtract(x, try_multiply(q, y)) AS W))"),
+    "sw_div_whole": (
+        "x W, y W, minus BOOLEAN", "W", True,
+        "sw_div_rest(x, y, minus, try_cast(floor(try_divide(x, y) - 0.000001) AS DECIMAL(26,0)))",
+    ),
+    "sw_div_wide": ("a W, b W", "W", False, "sw_div_whole(CASE WHEN a < 0 THEN 0 - a ELSE a END, CASE WHEN b < 0 THEN 0 - b ELSE b END, (a < 0) <> (b < 0))"),
+    "sw_div_or": ("a W, b W, q W", "W", False, "coalesce(q, sw_div_wide(CASE WHEN q IS NULL AND b <> 0 THEN a END, CASE WHEN q IS NULL AND b <> 0 THEN b END))"),
+    "sw_div": ("a W, b W", "W", True, "sw_div_or(a, b, try_divide(try_cast(a AS DECIMAL(26,12)), b))"),
+}
 
 
 def register_functions(spark) -> None:
@@ -320,13 +336,10 @@ def register_functions(spark) -> None:
         return
     if spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "65535":
         spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
-    with session_conf(spark, {"spark.sql.decimalOperations.allowPrecisionLoss": "false"}):
-        for name in ("sw_exact_neg", "sw_exact_abs", "sw_whole", "sw_rest", "sw_mul"):
-            spark.sql(_SQL_FUNCTIONS[name])
-    for name, text_of in _SQL_DIVISION.items():
-        loss = str(name not in ("sw_exact_near", "sw_exact_long")).lower()
-        with session_conf(spark, {"spark.sql.decimalOperations.allowPrecisionLoss": loss}):
-            spark.sql(text_of)
+    for name, (arguments, result, loss, body) in _SQL_FUNCTIONS.items():
+        made = f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURNS {result} RETURN {body}"
+        with session_conf(spark, {"spark.sql.decimalOperations.allowPrecisionLoss": str(loss).lower()}):
+            spark.sql(re.sub(r"\bW\b", _WIDE, made))
     spark._sluicework_ready = True
 
 
@@ -371,7 +384,7 @@ def mul(a, b) -> Val:
         if d == 1:
             return derive(num(a), NUMBER, a)
         product = num(a).try_cast(f"decimal({37 - p},12)") * F.lit(d).cast(f"decimal({p},{s})")
-        return derive(F.coalesce(product.try_cast(NUM), _call("sw_mul", num(a), num(b))), NUMBER, a)
+        return derive(_call("sw_mul_or", num(a), num(b), product.try_cast(NUM)), NUMBER, a)
     return derive(_call("sw_mul", num(a), num(b)), NUMBER, a, b)
 
 
@@ -382,7 +395,9 @@ def div(a, b) -> Val:
     if t is not None and t[0] != 0:
         d, p, s = t
         q = num(a).try_cast(f"decimal({38 - s},12)") / F.lit(d).cast(f"decimal({p},{s})")
-        return derive(F.coalesce(q.try_cast(NUM), _call("sw_div", num(a), num(b))), NUMBER, a)
+        if s == 0:  # every dividend fits
+            return derive(q.try_cast(NUM), NUMBER, a)
+        return derive(_call("sw_div_or", num(a), num(b), q.try_cast(NUM)), NUMBER, a)
     nb = num(b)
     q = _call("sw_div", num(a), nb)
     return optional_number(F.when(num(a).isNotNull(), nb == 0), q, a, b)
@@ -390,12 +405,11 @@ def div(a, b) -> Val:
 
 def optional_number(missing: Column, value: Column, *parents: Val) -> Val:
     """A value that is '' where ``missing`` holds and a number elsewhere."""
-    return derive(
-        F.when(missing, F.lit("")).when(~missing, num_to_text(value)),
-        TEXT,
-        *parents,
-        numeric=F.when(missing, F.lit(0).cast(NUM)).when(~missing, value.cast(NUM)),
-    )
+    value = value.cast(NUM)
+    if _spelled.get():
+        numeric = F.when(missing, F.lit(0).cast(NUM)).when(~missing, value)
+        return derive(F.when(missing, F.lit("")).when(~missing, num_to_text(value)), TEXT, *parents, numeric=numeric)
+    return derive(_call("sw_optional_text", missing, value), TEXT, *parents, numeric=_call("sw_optional_num", missing, value))
 
 
 def neg(a) -> Val:
