@@ -82,6 +82,13 @@ def _(spark, sf):
     return out.drop("template").withColumnRenamed("_file", "file")
 
 
+@query("g_02_one_pass", SALES + f"SELECT prio || '.csv' AS file, {_COUNTS} FROM sales GROUP BY 1")
+def _(spark, sf):
+    df = numbered_sales(spark, sf).withColumn("_file", F.concat("prio", F.lit(".csv")))
+    out = failing().run(df).audited().counters()
+    return out.drop("template").withColumnRenamed("_file", "file")
+
+
 @query("a_05_summary", SALES + f"""SELECT '{{"template":"failing","files":1,"rows_in":' || rows_in || ',"rows_out":' || rows_out || ',"no_rule_match":' || no_rule_match
   || ',"rule_skip":0,"date_filtered":0,"errors":' || errors || '}}' AS document FROM (SELECT {_COUNTS} FROM sales)""")
 def _(spark, sf):

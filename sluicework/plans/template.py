@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import functools
+import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.values import TEXT, Val, canonical_text, register_functions, text, val
@@ -13,8 +14,7 @@ from ..operators.daterange import in_range
 from ..operators.lookup import Lookup, Lookups, build_side, entries, probe
 from ..operators.provenance import prepare
 from ..operators.rules import Rule, base_used, choose, emit_count, rule_index
-from ..session import session_conf
-
+from ..session import scratch_dir, session_conf
 
 
 def exact_names(df: DataFrame):
@@ -32,7 +32,7 @@ def _exact(method):
     return run
 
 
-__all__ = ["Lookup", "Rule", "Run", "Template"]
+__all__ = ["Audit", "Lookup", "Rule", "Run", "Template"]
 
 
 @dataclass
@@ -153,6 +153,56 @@ class Run:
         done = all(p.kind != TEXT or p.numeric is not None or _settled(p) for p in parts)
         return choose(t.rules, name, base, F.col("_rule"), F.col("_emit_pos"), text), not done
 
+    # ------------------------------------------------------------ one pass
+
+    @_exact
+    def audited(self, path: str | None = None) -> "Audit":
+        """Runs the conversion once and writes everything it tells, row by row; all tables are read from that.
+
+        One record per emitted row, or one for a row that emits nothing: what became of it (`_fate`:
+        kept, dropped or late, by the date range of the file name), the reason, the written cells, the
+        cells that failed, and the source row where no rule matched. Totals are observed on the way.
+        path: where to write; a folder in the shared scratch place if none is given.
+        """
+        t, rule, pos = self.template, F.col("_rule"), F.col("_emit_pos")
+        df = self.routed().withColumn("_emit_pos", F.explode(F.sequence(F.lit(0), F.greatest(F.col("_n"), F.lit(1)) - 1)))
+        kept = F.col("_n") > 0
+        if t.date_range is not None and self._date_override():
+            df = _with_date(df, "_date", choose(t.rules, t.date_range, t.variables.get(t.date_range), rule, pos, text))
+            df = df.withColumn("_late", F.when(kept, ~in_range(F.col("_date"), F.col("_stem"))).otherwise(F.lit(False))).drop("_date")
+        else:
+            df = df.withColumn("_late", F.lit(False))
+        df = df.withColumn("_fate", F.when(~kept, F.lit("dropped")).when(F.col("_late"), F.lit("late")).otherwise(F.lit("kept")))
+        is_kept = F.col("_fate") == "kept"
+        used, cols, pending = list(dict.fromkeys(t.output.values())), [], []
+        for i, name in enumerate(used):
+            c, canon = self._variable(name)
+            cols.append(F.when(is_kept, c).alias(f"_v{i}"))
+            pending.append(canon)
+        source = F.when(F.col("_reason") == "no_rule_match", F.struct(*[F.col(f"`{c}`") for c in self.source.columns]))
+        tests = F.when(is_kept, F.array_compact(F.array(*self._failures()))) if self._failures() else F.lit(None)
+        cells = "array<struct<variable:string,origin:string,emit_pos:int>>"
+        at = ["_file", "_stem", "_record_num", "_emit_pos", "_rule", "_n", "_fate"]
+        df = df.select(
+            *at, F.when(F.col("_late"), F.lit("date_filter_from_filename")).otherwise(F.col("_reason")).alias("_reason"), *cols,
+            tests.cast(cells).alias("_cells"), F.when(pos == 0, self._failed_variables()).otherwise(F.lit(0)).cast("bigint").alias("_failed"), source.alias("_source"),
+        )
+        settled = [canonical_text(F.col(f"_v{i}")) if canon else F.col(f"_v{i}") for i, canon in enumerate(pending)]
+        df = df.withColumns({f"_v{i}": F.when(is_kept, F.coalesce(c, F.lit(""))) for i, c in enumerate(settled)})
+        seen = Observation(f"audit-{uuid.uuid4().hex}")
+        df = df.observe(seen, *[c.alias(n) for n, c in _totals().items()])
+        path = path or scratch_dir(df.sparkSession, "audit")
+        df.write.parquet(path)
+        return Audit(t, df.sparkSession.read.schema(df.schema).parquet(path), seen.get, list(self.source.columns))
+
+    def _failed_variables(self) -> Column:
+        """How many variables fail on a row; every variable counts, written or not."""
+        t, failed = self.template, F.lit(0)
+        for n, base in t.variables.items():
+            if base is not None and base.const is None:
+                failed = failed + (base_used(t.rules, n, F.col("_rule")) & base.col.isNull()).cast("int")
+        return F.coalesce(failed, F.lit(0))
+
     # ------------------------------------------------------------ tables
 
     @_exact
@@ -198,9 +248,8 @@ class Run:
         """The source row of every row no rule matched."""
         return self.routed().filter("_reason = 'no_rule_match'").select(*self.source.columns)
 
-    @_exact
-    def errors(self) -> DataFrame:
-        """One record per failing cell: variable and where its expression stands."""
+    def _failures(self) -> list[Column]:
+        """For each expression: its cell where it fails, else NULL."""
         t = self.template
         rule, pos = F.col("_rule"), F.col("_emit_pos")
         names = list(dict.fromkeys([*t.output.values(), *t.variables, *(n for r in t.rules for row in r.rows for n in row)]))
@@ -215,8 +264,12 @@ class Run:
                     if n in row and row[n].const is None:
                         hit = (rule == i) & (pos == p) & row[n].col.isNull()
                         tests.append(F.when(hit, _cell(n, "override", p)))
-        if not tests:
-            tests = [F.when(F.lit(False), _cell("", "", 0))]
+        return tests
+
+    @_exact
+    def errors(self) -> DataFrame:
+        """One record per failing cell: variable and where its expression stands."""
+        tests = self._failures() or [F.when(F.lit(False), _cell("", "", 0))]
         cells = self._kept().select("_file", "_record_num", "_rule", F.array_compact(F.array(*tests)).alias("cells"))
         cells = cells.select("_file", "_record_num", "_rule", F.explode("cells").alias("c"))
         return cells.select("_file", "_record_num", "_rule", "c.variable", "c.origin", "c.emit_pos")
@@ -252,10 +305,6 @@ class Run:
             emitted = flags.otherwise(F.lit(0)) if flags is not None else F.lit(0)
         else:
             emitted = F.when(F.col("_reason").isNull(), F.col("_n")).otherwise(F.lit(0))
-        failed = F.lit(0)
-        for n, base in t.variables.items():  # every variable counts, written or not
-            if base is not None and base.const is None:
-                failed = failed + (base_used(t.rules, n, rule) & base.col.isNull()).cast("int")
 
         def count(reason):
             return F.sum((F.col("_reason") == reason).cast("bigint"))
@@ -267,16 +316,69 @@ class Run:
             F.coalesce(count("no_rule_match"), zero).alias("no_rule_match"),
             F.coalesce(count("rule_skip"), zero).alias("rule_skip"),
             F.coalesce(count("date_filter_from_filename"), zero).alias("date_filtered"),
-            F.sum(F.coalesce(failed, F.lit(0)).cast("bigint")).alias("errors"),
+            F.sum(self._failed_variables().cast("bigint")).alias("errors"),
         ).withColumn("template", F.lit(t.name))
 
     def summary(self) -> DataFrame:
         """The run as one document per template."""
-        names = ["rows_in", "rows_out", "no_rule_match", "rule_skip", "date_filtered", "errors"]
-        total = self.counters().groupBy("template").agg(
-            F.count(F.lit(1)).alias("files"), *[F.sum(n).alias(n) for n in names]
-        )
-        return total.withColumn("document", F.to_json(F.struct("template", "files", *names)))
+        return _summary(self.counters())
+
+
+_COUNTED = ["rows_in", "rows_out", "no_rule_match", "rule_skip", "date_filtered", "errors"]
+
+
+def _summary(counters: DataFrame) -> DataFrame:
+    total = counters.groupBy("template").agg(F.count(F.lit(1)).alias("files"), *[F.sum(n).alias(n) for n in _COUNTED])
+    return total.withColumn("document", F.to_json(F.struct("template", "files", *_COUNTED)))
+
+
+def _totals() -> dict[str, Column]:
+    """The counters as aggregates over the records of an audit."""
+    reason = F.col("_reason")
+    tests = {
+        "rows_in": F.col("_emit_pos") == 0, "rows_out": F.col("_fate") == "kept", "no_rule_match": reason == "no_rule_match",
+        "rule_skip": reason == "rule_skip", "date_filtered": (reason == "date_filter_from_filename") & (F.col("_fate") == "dropped"),
+    }
+    counted = {n: F.count_if(c) for n, c in tests.items()}
+    return {**counted, "errors": F.coalesce(F.sum("_failed"), F.lit(0).cast("bigint"))}
+
+
+class Audit:
+    """The tables of one finished run, all read from its records. The input is not read again.
+
+    totals: the counters of the whole run, observed while the records were written.
+    """
+
+    def __init__(self, template: Template, records: DataFrame, totals: dict, columns: list[str]):
+        self.template, self.records, self.totals, self._columns = template, records, totals, columns
+
+    def _kept(self) -> DataFrame:
+        return self.records.filter("_fate = 'kept'")
+
+    def output(self, with_order: bool = False) -> DataFrame:
+        order = ["_file", "_stem", "_record_num", "_emit_pos", "_rule"] if with_order else []
+        place = {name: f"_v{i}" for i, name in enumerate(dict.fromkeys(self.template.output.values()))}
+        return self._kept().select(*order, *[F.col(place[v]).alias(header) for header, v in self.template.output.items()])
+
+    def outcomes(self) -> DataFrame:
+        return self._kept().select("_file", "_record_num", "_emit_pos", "_rule", F.lit("emit").alias("action"))
+
+    def filtered(self) -> DataFrame:
+        return self.records.filter("_fate <> 'kept'").select("_file", "_record_num", "_rule", "_reason")
+
+    def unmatched(self) -> DataFrame:
+        return self.records.filter("_reason = 'no_rule_match'").select(*[F.col("_source").getField(c).alias(c) for c in self._columns])
+
+    def errors(self) -> DataFrame:
+        cells = self._kept().select("_file", "_record_num", "_rule", F.explode("_cells").alias("c"))
+        return cells.select("_file", "_record_num", "_rule", "c.variable", "c.origin", "c.emit_pos")
+
+    def counters(self) -> DataFrame:
+        counted = self.records.groupBy("_file").agg(*[c.cast("bigint").alias(n) for n, c in _totals().items()])
+        return counted.withColumn("template", F.lit(self.template.name))
+
+    def summary(self) -> DataFrame:
+        return _summary(self.counters())
 
 
 def _with_date(df: DataFrame, name: str, date: Column) -> DataFrame:
