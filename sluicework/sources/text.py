@@ -14,7 +14,7 @@ from .columns import clean_field, clean_positions, last_positions, name_columns,
 from .files import glob_for, list_files, open_random, split_bound, spread
 
 MAX_BROADCAST_SPLITS = 400_000  # about 60 MB of paths and offsets
-PARSED_FIELDS = 20_480  # quoted lines with more fields are split by pattern alone
+NO_DELIMITER = "\uffff"  # no character
 QUOTES = {"double": '"', "single": "'", "none": ""}
 
 # Encodings whose web name differs from the codec's, and those the JVM lacks.
@@ -209,42 +209,42 @@ def number_lines(raw: DataFrame, splits_at_most: int) -> DataFrame:
     return joined.withColumn("_line", F.col("_mid") + F.col("_shift")).drop("_sp", "_sb", "_shift")
 
 
-def split_fields(df: DataFrame, delimiter: str, quote: str, width: int) -> DataFrame:
-    """Turn ``value`` into the array ``_fields``: every field of every row, whatever the header's width.
+def raw_fields(line: Column, delimiter: str, quote: str) -> Column:
+    """The fields of a line as they are spelled, quotes included.
 
-    Lines without a quote character take the plain split; the others go through
-    Spark's CSV parser one line at a time, so a quote never swallows the next line.
-    Fields of such a line beyond ``width`` come from ``quoted_fields``.
+    A quote at the start of a field opens it, a doubled one inside stands for itself, and a single
+    one closes it; what follows up to the delimiter belongs to the field as it is, further quotes
+    included. A quote anywhere else is text, and one that is never closed ends with its line.
     """
-    plain = F.split(F.col("value"), _regex_literal(delimiter), -1)
+    d, q = _regex_literal(delimiter), QUOTES[quote]
+    plain = F.split(line, d, -1)
+    if not q:
+        return plain
+    k = _regex_literal(q)
+    field = f"{d}((?:{k}[^{k}]*+(?:{k}{k}[^{k}]*+)*+{k}?)?[^{d}]*+)"
+    return F.when(line.contains(q), F.regexp_extract_all(F.concat(F.lit(delimiter), line), F.lit(field), F.lit(1))).otherwise(plain)
+
+
+def unquoted(field: Column, quote: str) -> Column:
+    """The value of a field as `raw_fields` gives it."""
     q = QUOTES[quote]
     if not q:
-        return df.withColumn("_fields", plain).drop("value")
-    every = quoted_fields(F.col("value"), delimiter, q)
-    quoted = F.col("value").contains(q)
-    if width == 0:
-        return df.withColumn("_fields", F.when(quoted, every).otherwise(plain)).drop("value")
-    names = [f"c{i}" for i in range(width)]
-    schema = ", ".join(f"{n} string" for n in names)
-    options = {"sep": delimiter, "quote": q, "escape": q, "mode": "PERMISSIVE", "maxColumns": str(max(width + 1, PARSED_FIELDS))}
-    places = F.size(plain)
-    df = df.withColumn("_csv", F.when(quoted & (places <= PARSED_FIELDS), F.from_csv("value", F.lit(schema), options)))
-    parsed = F.array(*[F.coalesce(F.col(f"_csv.{n}"), F.lit("")) for n in names])
-    parsed = F.when(places <= width, parsed).when(places <= PARSED_FIELDS, F.concat(parsed, rest_of(every, width))).otherwise(every)
-    return df.withColumn("_fields", F.when(quoted, parsed).otherwise(plain)).drop("_csv", "value")
-
-
-def quoted_fields(line: Column, delimiter: str, q: str) -> Column:
-    """The fields of a line of any width. A quote counts at the start of a field that it also ends."""
-    d, k = _regex_literal(delimiter), _regex_literal(q)
-    found = F.regexp_extract_all(F.concat(F.lit(delimiter), line), F.lit(f"{d}({k}(?:[^{k}]|{k}{k})*+{k}(?={d}|$)|[^{d}]*+)"), F.lit(1))
-    inner = lambda x: F.replace(F.substring(x, F.lit(2), F.char_length(x) - 2), F.lit(q + q), F.lit(q))
-    closed = lambda x: x.startswith(q) & x.endswith(q) & (F.char_length(x) > 1)
-    return F.transform(found, lambda x: F.when(closed(x), inner(x)).otherwise(x))
-
-
-def rest_of(every: Column, width: int) -> Column:
-    return F.slice(every, F.lit(width + 1), F.greatest(F.size(every) - width, F.lit(0)))
+        return field
+    k = _regex_literal(q)
+    inner = F.substring(field, F.lit(2), F.char_length(field) - 2)
+    clean = field.endswith(q) & (F.char_length(field) > 1) & ~inner.contains(q)
+    parts = f"(?s)^{k}([^{k}]*+(?:{k}{k}[^{k}]*+)*+){k}?(.*)$"
+    other = F.concat(F.replace(F.regexp_extract(field, parts, 1), F.lit(q + q), F.lit(q)), F.regexp_extract(field, parts, 2))
+    return F.when(field.startswith(q), F.when(clean, inner).otherwise(other)).otherwise(field)
+
+
+def split_fields(df: DataFrame, delimiter: str, quote: str) -> DataFrame:
+    """Turn ``value`` into the array ``_fields``: every field of every row, whatever the header's width."""
+    raw = raw_fields(F.col("value"), delimiter, quote)
+    q = QUOTES[quote]
+    if q:
+        raw = F.when(F.col("value").contains(q), F.transform(raw, lambda x: unquoted(x, quote))).otherwise(raw)
+    return df.withColumn("_fields", raw).drop("value")
 
 
 def _regex_literal(ch: str) -> str:
@@ -253,16 +253,9 @@ def _regex_literal(ch: str) -> str:
 
 def parse_rows(spark, rows: DataFrame, heads: DataFrame | None, src: TextSource) -> DataFrame:
     """Lines with ``_line`` to named rows with ``_record_num``."""
-    if heads is None:
-        width = src.width or 0
-    else:
-        seen = profile(heads)
-        width = max(seen.width, src.width or 0)
     rows = decode_column(spark, rows, "value", src.encoding)
-    rows = split_fields(rows, src.delimiter, src.quote, width)
-    if heads is not None:
-        return name_columns(rows, heads, seen, src.columns, src.decimal_separator)
-    return rows
+    rows = split_fields(rows, src.delimiter, src.quote)
+    return rows if heads is None else name_columns(rows, heads, profile(heads), src.columns, src.decimal_separator)
 
 
 def scan(spark: SparkSession, src: TextSource) -> DataFrame:
@@ -287,33 +280,29 @@ def scan(spark: SparkSession, src: TextSource) -> DataFrame:
 
 
 def native_scan(spark: SparkSession, src: TextSource, seen) -> DataFrame:
-    """One pass with Spark's own reader: it drops header lines and parses only the columns in use."""
-    width = max(seen.width if seen else 0, src.width or 0)
-    q = QUOTES[src.quote]
+    """One pass without line numbers: Spark's CSV reader drops the header lines of all files, and
+    hands over whole lines, since the delimiter it is given is one that no text holds. The fields
+    are cut as everywhere else."""
     raw = (
         spark.read.format("csv")
-        .schema(", ".join(f"c{i} string" for i in range(width)) + ", _odd string")
-        .options(sep=src.delimiter, quote=q, escape=q or "\\", header=str(src.header_line == 1).lower(), columnNameOfCorruptRecord="_odd",
-                 enforceSchema="true", mode="PERMISSIVE", multiLine="false", lineSep="\n", maxColumns=str(max(width + 1, PARSED_FIELDS)),
-                 pathGlobFilter=glob_for(src.suffix))
+        .schema("value string, _odd string")
+        .options(columnNameOfCorruptRecord="_odd", sep=NO_DELIMITER, quote="", escape="\\", header=str(src.header_line == 1).lower(), enforceSchema="true", mode="PERMISSIVE",
+                 multiLine="false", lineSep="\n", maxCharsPerColumn="-1", emptyValue="", nullValue="", pathGlobFilter=glob_for(src.suffix))
         .load(src.path)
     )
-    last = F.col(f"c{width - 1}")
-    cells = [F.col(f"c{i}") for i in range(width - 1)] + [F.when(last.endswith("\r"), F.left(last, F.char_length(last) - 1)).otherwise(last)]
-    # Rows of another width than the header are kept whole in _odd; it is read only where positions are asked for.
-    odd = F.when(F.col("_odd").endswith("\r"), F.left("_odd", F.char_length("_odd") - 1)).otherwise(F.col("_odd"))
-    plain = F.split(odd, _regex_literal(src.delimiter), -1)
-    every = F.when(odd.contains(q), quoted_fields(odd, src.delimiter, q)).otherwise(plain) if q else plain
-    held = F.array(*[F.coalesce(c, F.lit("")) for c in cells])
-    held = F.when(F.col("_odd").isNull(), held).when(odd.contains(q) if q else F.lit(False), F.concat(held, rest_of(every, width))).otherwise(every)
-    name = file_name()
+    name, line = file_name(), F.coalesce("_odd", "value", F.lit(""))  # _odd: a line that holds the delimiter all the same
+    raw = raw.select(
+        name.alias("_file"), _stem(name, src.suffix).alias("_stem"), F.lit("").alias("_sheet"),
+        F.struct(F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_mid")).alias("_order"),
+        F.when(line.endswith("\r"), F.left(line, F.char_length(line) - 1)).otherwise(line).alias("value"),
+    ).filter(F.trim("value") != "")
+    raw = raw.withColumn("_raw", raw_fields(F.col("value"), src.delimiter, src.quote))
     at = last_positions(seen.sample) if seen else {}
     names = [c for c in (src.columns if src.columns is not None else at) if c in at]
+    cell = lambda n: clean_field(unquoted(F.get("_raw", F.lit(at[n])), src.quote), src.decimal_separator).alias(n)
     out = raw.select(
-        name.alias("_file"), _stem(name, src.suffix).alias("_stem"), F.lit("").alias("_sheet"), held.alias("_fields"),
-        F.struct(F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_mid")).alias("_order"),
-        *[clean_field(cells[at[n]], src.decimal_separator).alias(n) for n in names],
-    )
+        "_file", "_stem", "_sheet", F.transform("_raw", lambda x: unquoted(x, src.quote)).alias("_fields"), "_order", *[cell(n) for n in names]
+    )
     return clean_positions(out, src.decimal_separator)
 
 
