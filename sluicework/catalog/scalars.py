@@ -199,6 +199,10 @@ scalars("f_to_utc", "sales", lambda: {
 _eu = """(t >= (make_date(year(d), 3, 31) - CAST(isodow(make_date(year(d), 3, 31)) % 7 AS INTEGER)) + INTERVAL 1 HOUR
   AND t < (CASE WHEN year(d) < 1996 THEN make_date(year(d), 9, 30) - CAST(isodow(make_date(year(d), 9, 30)) % 7 AS INTEGER)
     ELSE make_date(year(d), 10, 31) - CAST(isodow(make_date(year(d), 10, 31)) % 7 AS INTEGER) END) + INTERVAL 1 HOUR)"""
+# Winter is the marked half of the year; until 1995 it began on the Sunday from 22 October on.
+_ie = """NOT (t >= (make_date(year(d), 3, 31) - CAST(isodow(make_date(year(d), 3, 31)) % 7 AS INTEGER)) + INTERVAL 1 HOUR
+  AND t < (CASE WHEN year(d) < 1996 THEN make_date(year(d), 10, 28) - CAST(isodow(make_date(year(d), 10, 28)) % 7 AS INTEGER)
+    ELSE make_date(year(d), 10, 31) - CAST(isodow(make_date(year(d), 10, 31)) % 7 AS INTEGER) END) + INTERVAL 1 HOUR)"""
 scalars("f_tz_offset", "sales", lambda: {"v": fn.tz_offset(f("ts"), "Europe/Prague"), "i": fn.tz_offset(f("ts"), "Asia/Kolkata"), "u": fn.tz_offset(f("ts"), "No/Where"), "b": fn.tz_offset(f("prio"), "Europe/Prague")}, {
     "v": f"CASE WHEN {_eu} THEN '+02:00' ELSE '+01:00' END", "i": "'+05:30'", "u": "''", "b": "''"})
 scalars("f_tz_convert", "sales", lambda: {
@@ -207,5 +211,8 @@ scalars("f_tz_convert", "sales", lambda: {
     "ist": "strftime(t + INTERVAL 330 MINUTE, '%Y-%m-%d %H:%M:%S')", "fix": "strftime(t - INTERVAL 7 HOUR, '%Y-%m-%d %H:%M:%S')",
     "prg": f"strftime(t + CASE WHEN {_eu} THEN INTERVAL 2 HOUR ELSE INTERVAL 1 HOUR END, '%Y-%m-%d %H:%M:%S')", "u": "''",
 })
-scalars("f_is_dst", "sales", lambda: {"v": fn.is_dst(f("ts"), "Europe/Prague"), "i": fn.is_dst(f("ts"), "Asia/Kolkata"), "u": fn.is_dst(f("ts"), "No/Where")}, {
-    "v": f"CAST({_eu} AS VARCHAR)", "i": "'false'", "u": "'false'"})
+scalars("f_is_dst", "sales", lambda: {"v": fn.is_dst(f("ts"), "Europe/Prague"), "i": fn.is_dst(f("ts"), "Asia/Kolkata"), "u": fn.is_dst(f("ts"), "No/Where"),
+    "ie": fn.is_dst(f("ts"), "Europe/Dublin"), "ma": fn.is_dst(f("ts"), "Africa/Casablanca"),
+    "any": fn.is_dst(f("ts"), fn.if_(f("status") == "F", "Europe/Dublin", fn.if_(f("status") == "O", "Europe/Prague", "No/Where")))}, {
+    "v": f"CAST({_eu} AS VARCHAR)", "i": "'false'", "u": "'false'", "ie": f"CAST({_ie} AS VARCHAR)", "ma": "'false'",
+    "any": f"CAST(CASE status WHEN 'F' THEN {_ie} WHEN 'O' THEN {_eu} ELSE false END AS VARCHAR)"})

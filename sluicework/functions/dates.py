@@ -17,6 +17,7 @@ from .dateformat import Parsed, render
 from .text import _int
 from .values import BOOLEAN, TEXT
 from .values import derive, optional_number, text_arg, val
+from .zones import daylight
 
 ISO = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([ T][0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?([Zz]|[+-][0-9]{2}:[0-9]{2})?)?$"
 MAX_DAYS = 3_652_500
@@ -250,14 +251,14 @@ def tz_convert(t, from_zone, to_zone):
 
 
 def is_dst(t, zone):
-    """Whether the zone is ahead of its own smallest offset of that year."""
+    """Whether the zone database marks daylight saving; in some zones it is the winter that is marked."""
     t = text_arg(t, "is_dst")
     z, v = _zone(zone, False)
     ts = _moment(t.col)
-    y = F.year(ts).cast("string")
-    jan = F.concat(F.lpad(y, 4, "0"), F.lit("-01-01 00:00:00")).try_cast("timestamp_ntz")
-    jul = F.concat(F.lpad(y, 4, "0"), F.lit("-07-01 00:00:00")).try_cast("timestamp_ntz")
-    ahead = _offset(ts, z) > F.least(_offset(jan, z), _offset(jul, z))
+    if v.const is not None and v.const not in zone_names():
+        ahead = F.lit(None).cast("boolean")
+    else:
+        ahead = daylight(ts, z, v.const, sorted(zone_names()))
     return derive(F.when(t.col.isNotNull() & v.col.isNotNull(), F.coalesce(ahead, F.lit(False))), BOOLEAN, t, v)
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from . import dates, logic, mapping, numbers
+from . import dates, logic, mapping, numbers, zones
 from .text import (
     contains, ends_with, left, len_, lower, lpad, position, right, rpad, split_part, starts_with, substr, trim, unaccent_body, upper,
 )
@@ -42,7 +42,7 @@ def _catalogue():
         "year": (dates.year, 1), "month": (dates.month, 1), "day": (dates.day, 1), "weekday": (dates.weekday, 1),
         "quarter": (dates.quarter, 1), "weeknum": (dates.weeknum, 1), "hour": (dates.hour, 1), "minute": (dates.minute, 1),
         "second": (dates.second, 1), "eomonth": (dates.eomonth, 1), "nth_dow": (dates.nth_dow, 4),
-        "tz_offset": (dates.tz_offset, 2), "tz_convert": (dates.tz_convert, 3), "is_dst": (dates.is_dst, 2),
+        "tz_offset": (dates.tz_offset, 2), "tz_convert": (dates.tz_convert, 3),
     }
     return out
 
@@ -99,6 +99,15 @@ def _register(spark: SparkSession, names, prefix: str) -> list[str]:
     made.append(prefix + "proper")
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {prefix}unaccent(c STRING) RETURNS STRING RETURN {unaccent_body()}")
     made.append(prefix + "unaccent")
+    if names is None or "is_dst" in names:
+        seconds = _body(spark, zones.seconds_of(dates._moment(F.col("a"))))
+        moments = f"try_element_at(from_json('{zones.every_zone(sorted(dates.zone_names()))}', 'map<string,array<bigint>>'), b)"
+        passed = f"aggregate(array({', '.join(str(s) for s in zones.STEPS)}), 0, (n, s) -> CASE WHEN get({moments}, n + s - 1) <= {seconds} THEN n + s ELSE n END)"
+        spark.sql(
+            f"CREATE OR REPLACE TEMPORARY FUNCTION {prefix}is_dst(a STRING, b STRING) RETURNS STRING RETURN "
+            f"CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN CAST({passed} % 2 = 1 AS STRING) END"
+        )
+        made.append(prefix + "is_dst")
     spark.sql(
         f"CREATE OR REPLACE TEMPORARY FUNCTION {prefix}canonical(a STRING) RETURNS STRING RETURN {_body(spark, canonical_text(F.col('a')))}"
     )
