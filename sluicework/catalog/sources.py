@@ -190,13 +190,14 @@ def _(spark, sf):
     return out.select("id", "flag", "amount", "shipped", "open", F.col("_sheet").alias("sheet"))
 
 
-@query("s_07_fan_in", "SELECT DISTINCT lang AS stem, count(*) AS n FROM documents GROUP BY lang")
+@query("s_07_fan_in", "SELECT CAST(doc_id AS VARCHAR) AS id, lang FROM documents")
 def _(spark, sf):
+    """Files of many folders in one scan; a row's language is told by its file's path alone."""
     path = scratch_dir(spark, "s07")
-    docs = table(spark, sf, "documents").select("lang", F.concat_ws(",", F.col("doc_id").cast("string"), "lang").alias("line"))
-    docs.write.partitionBy("lang").text(path)
+    table(spark, sf, "documents").select("lang", F.col("doc_id").cast("string").alias("line")).write.partitionBy("lang").text(path)
     out = text.lines(spark, f"{path}/*", ".txt", record_numbers=False)
-    return out.groupBy(F.split_part("value", F.lit(","), F.lit(2)).alias("stem")).agg(F.count("*").alias("n"))
+    lang = F.nullif(F.url_decode(F.regexp_extract("_path", "/lang=([^/]*)/", 1)), F.lit("__HIVE_DEFAULT_PARTITION__"))
+    return out.select(F.col("value").alias("id"), lang.alias("lang"))
 
 
 @query("s_08_record_numbers", "SELECT CAST(o_orderkey AS VARCHAR) AS id, 'right' AS state FROM orders")
@@ -209,13 +210,14 @@ def _(spark, sf):
     return out.select("id", state.alias("state"))
 
 
-@query("f_record_num", "SELECT count(*) AS n, count(*) AS distinct_pairs FROM orders")
+@query("f_record_num", "SELECT CAST(o_orderkey AS VARCHAR) AS id, '0' AS off FROM orders")
 def _(spark, sf):
-    df = table(spark, sf, "orders").repartition(3).select(F.col("o_orderkey").cast("string").alias("line"))
-    path = write_lines(spark, df, "id", "frn")
-    t = Template("rn", {"n": fn.record_num(), "file": fn.filename()}, {"n": "n", "file": "file"})
-    out = t.run(text.scan(spark, text.TextSource(path, suffix=".txt"))).output()
-    return out.groupBy("n", "file").agg(F.count("*").alias("c")).agg(F.sum("c").alias("n"), F.count("*").alias("distinct_pairs"))
+    """Every line holds the number it was written under; the template takes the difference."""
+    seq = F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW)) + 1
+    df = table(spark, sf, "orders").repartition(3).select("o_orderkey", seq.alias("seq"))
+    path = write_lines(spark, df.select(F.concat_ws(",", F.col("o_orderkey").cast("string"), F.col("seq").cast("string")).alias("line")), "id,seq", "frn")
+    t = Template("rn", {"id": f("id"), "off": fn.record_num() - f("seq")}, {"id": "id", "off": "off"})
+    return t.run(text.scan(spark, text.TextSource(path, suffix=".txt"))).output()
 
 
 @query("s_09_file_name", "SELECT CAST(o_orderkey AS VARCHAR) AS id, 'yes' AS ok FROM orders")
