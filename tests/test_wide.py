@@ -59,6 +59,33 @@ def test_arithmetic_over_the_whole_range(spark):
             assert row[4] == -x
 
 
+def test_quotients_of_wide_operands(spark):
+    """Divisors of up to 19 whole digits with twelve decimals, and dividends over the whole range."""
+    rng = random.Random(8)
+
+    def number(digits):
+        n = rng.randint(0, digits)
+        x = Decimal(rng.randint(0, 10**n - 1)) + Decimal(rng.randint(0, 10**12 - 1)).scaleb(-12) * rng.choice([0, 1])
+        return x * rng.choice([1, -1])
+
+    rows = [(number(26), number(19)) for _ in range(1500)]
+    rows += [(Decimal("9" * 26 + "." + "9" * 12), Decimal(d)) for d in ("1", "-3", "0", "0.000000000001", "1000000000000000009")]
+    df = spark.createDataFrame([(i, str(a), str(b)) for i, (a, b) in enumerate(rows)], "i int, a string, b string").coalesce(1)
+    got = [r[1] for r in sorted(df.select("i", v.num(v.div(fn.field("a"), fn.field("b")))).collect())]
+    with localcontext() as c:
+        c.prec = 120
+        for (x, y), q in zip(rows, got, strict=True):
+            want = (x / y).quantize(Decimal("1e-12"), rounding=ROUND_HALF_UP) if y else Decimal(0)  # '' reads as 0
+            assert q == (want if abs(want) < Decimal(10) ** 26 else None), (x, y)
+
+
+def test_arguments_are_bound_once(spark):
+    """The spelling of a text stands in the plan once for each time a formula asks for its number, not for each step of reading it."""
+    a, b = fn.upper(fn.field("a")), fn.upper(fn.field("b"))
+    plan = spark.createDataFrame([("1", "2")], "a string, b string").select(v.text(v.div(a, b)).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert 2 <= plan.count("upper(") <= 5
+
+
 def test_literals_take_one_path():
     assert v.parse_number("0." + "3" * 60) == Decimal("0.333333333333")
     assert v.parse_number("1e30") is None and v.parse_number("99999999999999999999999999.9999999999999") is None
