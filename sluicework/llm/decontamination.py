@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .words import ALNUM, ragged, slices
+from .words import ALNUM, ragged, releasing, slices
 
 WINDOW = 13
 #: Bytes of text of one shard, and of the test items that are searched at once.
@@ -238,7 +238,7 @@ def contamination(
                     schema.names,
                 )
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(releasing(run), schema)
 
 
 def contaminated(n_hit="n_hit", n_words="n_words"):

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .tables import small, written
-from .words import slices
+from .words import releasing, slices
 
 #: Different texts of each language that the letter model is fitted on, about.
 LANGUAGE_ROWS = 600
@@ -78,7 +78,7 @@ def learn_letters(docs: DataFrame, text_col: str, label: Column, language_rows:
             full = np.flatnonzero(numbers)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(full), pa.string()), pa.array(full.astype(np.int32)), pa.array(numbers[full])], schema.names)
 
-    counted = chosen.mapInArrow(count, schema).groupBy("label", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    counted = chosen.mapInArrow(releasing(count), schema).groupBy("label", "bucket").agg(F.sum("n").alias("n")).toArrow()
     names = np.array(counted.column("label").to_pylist(), object)
     languages, at = np.unique(names, return_inverse=True) if len(names) else (names, np.zeros(0, np.int64))
     bucket, n = counted.column("bucket").to_numpy(), counted.column("n").to_numpy()
@@ -156,7 +156,7 @@ def identify(docs: DataFrame, keys: list[str], text_col: str = "text", declared:
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, k * n + 1, k, dtype=np.int32)), pa.array((lean - lean.max(1, keepdims=True)).ravel()))
                 yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(part.first, n) for i in range(5)], flat, pa.array(best)], schema.names)
 
-    seen = written(seen.mapInArrow(weigh, schema), "evidence", texts=True)
+    seen = written(seen.mapInArrow(releasing(weigh), schema), "evidence", texts=True)
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
     normal = lambda a: F.transform(a, lambda x: x / total(a))
     spread = seen.withColumn("p", F.transform("lean", lambda x: F.exp(x))).withColumn("p", normal(F.col("p")))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .words import Slice, binary, ragged, slices
+from .words import Slice, binary, ragged, releasing, slices
 
 CAPACITY = 4096
 #: Documents that are packed together; a task packs its rows group by group.
@@ -238,4 +238,4 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         if held:
             yield flush()
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(releasing(run), schema)
