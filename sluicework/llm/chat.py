@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from math import ceil
+from math import ceil, inf
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,34 +38,51 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(r"\1\2\3", text)
 
 
+def units(size: float | None, each: float = 1) -> int:
+    """Size in started units; missing, negative, endless and undefined sizes are 0."""
+    return ceil(size / each) if size is not None and 0 < size < inf else 0
+
+
 class Flatten:
-    """Visits the parts of one turn in order and keeps what each left behind."""
+    """Visits the parts of one turn in order. Texts that stand side by side are joined before they are escaped, so that
+    no control string forms across them; attachments keep their places in the content."""
 
     def __init__(self):
+        self.content, self.text, self.length = [], [], 0
         self.attachments: list[dict] = []
 
-    def visit(self, part: dict) -> str:
-        return getattr(self, f"visit_{part['kind'] or 'text'}", self.visit_unknown)(part)
+    def visit(self, part: dict | None) -> None:
+        if part is not None:
+            getattr(self, f"visit_{part['kind'] or 'text'}", self.visit_unknown)(part)
+
+    def visit_text(self, part: dict) -> None:
+        self.text.append(part["text"] or "")
+
+    def visit_image(self, part: dict) -> None:
+        self.attach("image", part, max(1, units(part["width"], IMAGE_PATCH) * units(part["height"], IMAGE_PATCH)))
 
-    def visit_text(self, part: dict) -> str:
-        return escape(part["text"] or "")
+    def visit_audio(self, part: dict) -> None:
+        self.attach("audio", part, max(1, units(part["seconds"], 1 / AUDIO_RATE)))
 
-    def visit_image(self, part: dict) -> str:
-        patches = ceil((part["width"] or 0) / IMAGE_PATCH) * ceil((part["height"] or 0) / IMAGE_PATCH)
-        return self.attach("image", part, max(1, patches))
+    def visit_document(self, part: dict) -> None:
+        self.attach("document", part, max(1, units(part["pages"])) * PAGE_TOKENS)
 
-    def visit_audio(self, part: dict) -> str:
-        return self.attach("audio", part, max(1, ceil((part["seconds"] or 0) * AUDIO_RATE)))
+    def visit_unknown(self, part: dict) -> None:
+        """A kind without a placeholder is read as its text."""
+        self.visit_text(part)
 
-    def visit_document(self, part: dict) -> str:
-        return self.attach("document", part, max(1, ceil(part["pages"] or 0)) * PAGE_TOKENS)
+    def attach(self, kind: str, part: dict, tokens: int) -> None:
+        self.flush()
+        self.attachments.append({"kind": kind, "ref": part["ref"], "tokens": tokens, "place": self.length})
+        self.add(f"<|{kind}|>")
 
-    def visit_unknown(self, part: dict) -> str:
-        raise ValueError(f"unknown content part: {part['kind']!r}")
+    def flush(self) -> None:
+        self.add(escape("".join(self.text)))
+        self.text = []
 
-    def attach(self, kind: str, part: dict, tokens: int) -> str:
-        self.attachments.append({"kind": kind, "ref": part["ref"], "tokens": tokens})
-        return f"<|{kind}|>"
+    def add(self, content: str) -> None:
+        self.content.append(content)
+        self.length += len(content)
 
 
 def format_turns(turns: list[dict]) -> tuple[str, list[dict], list[dict]]:
@@ -74,14 +91,15 @@ def format_turns(turns: list[dict]) -> tuple[str, list[dict], list[dict]]:
     for number, turn in enumerate(turns):
         visitor = Flatten()
         head = TURN + escape(turn["role"] or "") + SAYS
-        content = "".join(visitor.visit(p) for p in turn["parts"] or [])
+        for part in turn["parts"] or []:
+            visitor.visit(part)
+        visitor.flush()
         start = at + len(head)
         if turn["role"] == "assistant":
-            loss.append({"start": start, "end": start + len(content)})
-        for place, found in zip(re.finditer(r"<\|(?:image|audio|document)\|>", content), visitor.attachments, strict=True):
-            attached.append({"turn": number, "place": start + place.start(), **found})
-        out += [head, content, END]
-        at = start + len(content) + len(END)
+            loss.append({"start": start, "end": start + visitor.length})
+        attached += [{**found, "turn": number, "place": start + found["place"]} for found in visitor.attachments]
+        out += [head, *visitor.content, END]
+        at = start + visitor.length + len(END)
     return "".join(out), loss, attached
 
 
@@ -105,8 +123,9 @@ def format_conversations(turns: DataFrame, id_col: str = "conv_id", turn_col: st
     texts and roles get a backslash, which `unescape` takes off again.
 
     Turns stand in the order of their number (nulls first), equal numbers in the
-    order of role and content. Null parts and null texts are empty; a null role
-    is the empty role. Rows with a null id are one conversation. The turns of a
+    order of role and content. Null parts and null texts are empty, a part of an
+    unknown kind is its text, undefined and negative sizes count as none; a null
+    role is the empty role. Rows with a null id are one conversation. The turns of a
     conversation meet in one task, as its one string must; nothing else does.
     """
     schema = T.StructType(

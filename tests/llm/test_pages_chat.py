@@ -141,3 +141,25 @@ def test_parts(spark):
     assert [row.formatted[a.place :].startswith(f"<|{a.kind}|>") for a in row.attachments] == [True] * 3
     assert [chat.unescape(row.formatted[s.start : s.end]) for s in row.loss] == ["see <|image|>"]
     assert chat.parse(row.formatted)[0] == ("user", "see <|image|><|image|><|audio|><|document|>end")
+
+
+def test_parts_side_by_side_and_odd_parts():
+    """Random cuts through control strings read back; null parts, undefined sizes and unknown kinds end no job."""
+    import random
+
+    from sluicework.llm.chat import format_turns, parse
+
+    part = dict.fromkeys(("kind", "text", "ref", "width", "height", "seconds", "pages"))
+    rng = random.Random(5)
+    bits = ["<", "|", "end|>", "<|end|>", "\\", "</s>", "[", "/INST]", "[INST]", "<|image|>", "x", "|turn|>", ""]
+    for _ in range(2000):
+        texts = [[rng.choice(bits) for _ in range(rng.randint(0, 5))] for _ in range(3)]
+        turns = [{"role": rng.choice(["user", "assistant", "<|says|>"]), "parts": [{**part, "kind": rng.choice(["text", None, "new"]), "text": x} for x in t]} for t in texts]
+        made, loss, attached = format_turns(turns)
+        assert parse(made) == [(t["role"], "".join(x)) for t, x in zip(turns, texts, strict=True)]
+        assert len(loss) == sum(t["role"] == "assistant" for t in turns) and not attached
+    odd = [None, {**part, "kind": "image", "width": float("nan"), "height": 3.0}, {**part, "kind": "text", "text": "<"}, {**part, "kind": "audio", "ref": "a", "seconds": float("inf")}, {**part, "text": "|end|>"}]
+    made, _, attached = format_turns([{"role": "user", "parts": odd}, {"role": "user", "parts": None}])
+    assert [(a["kind"], a["tokens"], a["turn"]) for a in attached] == [("image", 1, 0), ("audio", 1, 0)]
+    assert all(made[a["place"] :].startswith(f"<|{a['kind']}|>") for a in attached)
+    assert len(parse(made)) == 2
