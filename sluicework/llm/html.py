@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -36,13 +37,17 @@ _ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td
 _STOPS = frozenset(("table", "ul", "ol", "dl", "td", "th", "body", "html", "article", "main", "section", "div", "nav", "aside", "footer", "header", "form", "blockquote", "figure"))
 
 #: A quote counts only where a value begins and if it has a partner; any other ends with its tag.
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</?([a-zA-Z][^\s/>]*)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*+)?+)?+)*+)>|[^<]+|<", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</?([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*+)?+)?+)*+)>|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _SPACE = re.compile(r"\s+")
 #: Name parts of classes, ids and roles.
 _AGAINST = re.compile(r"(?:^|[-_ ])(?:nav|navbar|navigation|menu|menubar|header|masthead|banner|footer|foot|sidebar|side|aside|complementary|contentinfo|widget|widgets|ads?|adv|advert|adverts|advertisement|sponsor|sponsored|logo|brand|branding|promo|promotion|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|search|searchbox|share|sharing|social|related|recommended|breadcrumbs?|crumbs|pagination|pager|tags?|toc|copyright|legal|disclaimer|form|dialog|skip)(?:$|[-_ 0-9])")
-_REPLIES = re.compile(r"(?:^|[-_ ])(?:comments?|commentlist|respond|reply|replies|disqus|discussion|reactions?|reviews?)(?:$|[-_ 0-9])")
+_REPLIES = re.compile(r"(?:^|[-_ ])(?:comments?|commentlist|respond|responses?|reply|replies|disqus|discussion|talk|guestbook|feedback|reactions?|reviews?)(?:$|[-_ 0-9])")
 _FOR = re.compile(r"(?:^|[-_ ])(?:article|articlebody|content|post|entry|main|story|storybody|text|hentry|body|copy|prose|page)(?:$|[-_ 0-9])")
+#: Names that say how a wrapper is laid out, not what it is; those with a side only beside a name of _FOR.
+_LAYOUT = re.compile(r"(?<!\S)(?:has|with|without|no|hide|show)[-_]\S+")
+_SIDE = re.compile(r"(?<!\S)\S+[-_](?:left|right|none)(?!\S)")
+_RIGHTS = re.compile(r"\s*(?:©|\(c\)|copyright\b|all rights reserved)", re.I)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -59,6 +64,8 @@ class Node:
     own: int = 0
     stops: int = 0
     children: int = 0
+    rights: bool = False
+    titled: bool = False
     y: int = -1
 
 
@@ -74,6 +81,8 @@ def parse(html: str) -> Page:
     page = Page([Node("root", -1)])
     nodes, runs = page.nodes, page.runs
     open_tags: list[tuple[str, int]] = [("body", 0)]  # name, node
+    opened: Counter[str] = Counter(("body",))
+    bounds: list[int] = [0]  # places of open paragraphs and of the tags that keep one open
     pieces: list[str] = []
     links = mute = linked = chars = 0
     mute_tag, pos, n = "", 0, len(html)
@@ -94,9 +103,19 @@ def parse(html: str) -> Page:
         nonlocal links
         if any(name in KINDS for name, _ in open_tags[i:]):
             close_run()
-        links -= sum(name == "a" for name, _ in open_tags[i:])
+        for name, _ in open_tags[i:]:
+            opened[name] -= 1
+            links -= name == "a"
+        while bounds[-1] >= i:
+            bounds.pop()
         del open_tags[i:]
 
+    def push(name: str, node: int) -> None:
+        if name == "p" or name in _STOPS:
+            bounds.append(len(open_tags))
+        opened[name] += 1
+        open_tags.append((name, node))
+
     while pos < n:
         m = _TOKEN.match(html, pos)
         pos = m.end()
@@ -128,10 +147,11 @@ def parse(html: str) -> Page:
                 continue
             if tag == "br":
                 pieces.append("\n")
-            for i in range(len(open_tags) - 1, 0, -1):
-                if open_tags[i][0] == tag:
-                    pop_to(i)
-                    break
+            if opened[tag]:  # a stray end tag costs nothing, any other ends all it passes
+                for i in range(len(open_tags) - 1, 0, -1):
+                    if open_tags[i][0] == tag:
+                        pop_to(i)
+                        break
             continue
         if mute:
             mute += tag == mute_tag and tag not in _RAW
@@ -149,19 +169,17 @@ def parse(html: str) -> Page:
             continue
         kind = KINDS.get(tag)
         if kind is None:
-            open_tags.append((tag, open_tags[-1][1]))
+            push(tag, open_tags[-1][1])
             links += tag == "a"
             continue
         if kind == "root":
+            if "data-label" in m[2]:
+                nodes[0].y = int('data-label="1"' in m[2])
             continue
         close_run()
-        for i in range(len(open_tags) - 1, 0, -1):  # a block ends an open paragraph or heading before it
-            if open_tags[i][0] == "p":
-                pop_to(i)
-                break
-            if open_tags[i][0] in _STOPS:
-                break
-        if tag in _ENDS:
+        if open_tags[bounds[-1]][0] == "p":  # a block ends an open paragraph before it
+            pop_to(bounds[-1])
+        if tag in _ENDS and any(opened[name] for name in _ENDS[tag]):
             for i in range(len(open_tags) - 1, 0, -1):
                 if open_tags[i][0] in _ENDS[tag]:
                     pop_to(i)
@@ -180,12 +198,18 @@ def parse(html: str) -> Page:
             if "data-label" in m[2]:
                 node.y = int('data-label="1"' in m[2])
         nodes.append(node)
-        open_tags.append((tag, len(nodes) - 1))
+        push(tag, len(nodes) - 1)
     close_run()
     for node, text in runs:
+        nodes[node].rights |= _RIGHTS.match(text) is not None
         nodes[node].stops += text.count(". ") + text.count(", ") + text.count("? ") + text.count("! ") + (text.rstrip()[-1:] in ".!?")
-    for node in nodes:
+    inside = [False] * len(nodes)  # of an article or the main part
+    for i, node in enumerate(nodes):
         node.chars = node.own
+        up = nodes[node.parent]
+        inside[i] = i > 0 and (inside[node.parent] or up.kind in ("article", "main"))
+        if node.kind == "heading" and up.kind == "header" and inside[node.parent]:
+            up.titled = True
     for i in range(len(nodes) - 1, 0, -1):
         node, parent = nodes[i], nodes[nodes[i].parent]
         parent.chars += node.chars
@@ -195,7 +219,13 @@ def parse(html: str) -> Page:
     return page
 
 
-FEATURES = len(_ORDER) + 10
+FEATURES = len(_ORDER) + 12
+
+
+def told(names: str) -> str:
+    """Names of an element without those that only say how it is laid out."""
+    names = _LAYOUT.sub(" ", names)
+    return _SIDE.sub(" ", names) if any(_FOR.fullmatch(name) for name in names.split()) else names
 
 
 def features(page: Page) -> np.ndarray:
@@ -207,18 +237,22 @@ def features(page: Page) -> np.ndarray:
         row = x[i]
         row[place[node.kind]] = 1
         if node.names:
-            row[k] = _AGAINST.search(node.names) is not None
-            row[k + 1] = _REPLIES.search(node.names) is not None
-            row[k + 2] = _FOR.search(node.names) is not None and not row[k] and not row[k + 1]
+            names = told(node.names)
+            row[k] = _AGAINST.search(names) is not None
+            row[k + 1] = _REPLIES.search(names) is not None
+            row[k + 2] = _FOR.search(names) is not None and not row[k] and not row[k + 1]
         row[k + 3] = node.hidden
         if node.chars:
-            row[k + 4] = node.linked / node.chars
+            row[k + 4] = 0 if node.stops else node.linked / node.chars
             row[k + 5] = node.stops > 0
             row[k + 6] = min(1.0, node.chars / 200)
             row[k + 7] = min(1.0, node.own / 100)
         else:
             row[k + 8] = 1
-        row[k + 9] = node.linked > 0.5 * node.chars and node.chars > 0
+        # Linked text without a sentence; a whole paragraph may be a link.
+        row[k + 9] = node.linked > 0.5 * node.chars and node.chars > 0 and not node.stops
+        row[k + 10] = node.rights and node.own < 100
+        row[k + 11] = node.titled
     return x
 
 

@@ -25,6 +25,18 @@ LAYOUTS = [
     '<nav><ul>{L}</ul></nav><article data-label="1"><h1>{W}</h1><p>{W}</p><pre>{S}</pre><h2>{W}</h2><p>{S}</p></article><aside class="sidebar"><p>{S}</p><p>{S}</p></aside><div class="reader-comments"><p>{S}</p></div><footer>{W}</footer>',
     '<div class="alert"><p>{S}</p></div><section class="article-body" data-label="1"><h2>{W}</h2><p>{S}</p><div><p>{S}</p></div><p>{S} <a href="/x">{W}</a> {S}</p></section><section class="comments-area"><ul><li><p>{S}</p></li><li><p>{S}</p></li></ul></section><div class="footer"><p>{S}</p></div>',
     '<dialog><p>{S}</p></dialog><article data-label="1"><h1>{W}</h1><section><h2>{W}</h2><p>{S}</p></section><section><h2>{W}</h2><p>{S}</p></section><section class="comments" data-label="0"><h2>{W}</h2><p>{S}</p><p>{S}</p></section></article><aside><p>{S}</p></aside>',
+    '<body data-label="1">{S}</body>',
+    '<body data-label="1"><p>{S}</p><p>{S}</p></body>',
+    '<body data-label="1"><h1>{W}</h1><p>{S}</p><p>{S}</p><ul><li>{W}</li><li>{S}</li></ul><p>{S}</p></body>',
+    '<body data-label="1"><div class="nav" data-label="0"><ul>{L}</ul></div><h1>{W}</h1><p>{S}</p><p>{S}</p><p>{S}</p><div class="footer" data-label="0"><p>{S}</p></div></body>',
+    '<body data-label="1"><h1>{W}</h1><p>{S}</p><table><tr><td>{W}</td><td>{S}</td></tr></table><p>{S}</p><footer data-label="0">{S}</footer></body>',
+    '<nav><ul>{L}</ul></nav><article data-label="1"><p><a href="/x">{S}</a></p><p>{S}</p></article><footer>{S}</footer>',
+    '<div class="site has-sidebar"><div class="content sidebar-right" data-label="1"><h1>{W}</h1><p>{S}</p><p>{S}</p></div><div class="sidebar"><p>{S}</p><ul>{L}</ul></div></div>',
+    '<div><ul>{L}</ul></div><div data-label="1"><h1>{W}</h1><p>{S}</p><p>{S}</p></div><div>Copyright 2020 {W}</div>',
+    '<div class="page no-footer"><div data-label="1"><p>{S}</p><p>{S}</p></div><div><p>&copy; {W}</p></div></div>',
+    '<header><h2>{W}</h2></header><article data-label="1"><header><h1>{W}</h1></header><p>{S}</p><p>{S}</p></article><footer>{S}</footer>',
+    '<main data-label="1"><header><h1>{W}</h1></header><p>{S}</p><div class="newsletter" data-label="0"><p>{S}</p></div><p>{S}</p></main><div class="user-talk"><p>{S}</p><p>{S}</p></div>',
+    '<article data-label="1"><h1>{W}</h1><p>{S}</p><div class="newsletter-box" data-label="0"><h3>{W}</h3><p>{S}</p></div><p>{S}</p></article><div class="feedback"><p>{S}</p></div>',
 ]
 VARIANTS = 12
 
