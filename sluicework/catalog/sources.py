@@ -158,17 +158,19 @@ _REL = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relations
 def make_workbook(columns, kinds):
     """A function that packs rows into a minimal one-sheet workbook."""
 
-    def cell(kind, ref, v):
+    def cells(kind, letter, numbers, values):
         if kind == "text":
-            return f'<c r="{ref}" t="inlineStr"><is><t>{escape(str(v))}</t></is></c>'
+            return [f'<c r="{letter}{n}" t="inlineStr"><is><t>{escape(v) if "&" in v or "<" in v or ">" in v else v}</t></is></c>' for n, v in zip(numbers, map(str, values))]
         if kind == "bool":
-            return f'<c r="{ref}" t="b"><v>{int(v)}</v></c>'
-        return f'<c r="{ref}"{" s=" + chr(34) + "1" + chr(34) if kind == "date" else ""}><v>{v}</v></c>'
+            return [f'<c r="{letter}{n}" t="b"><v>{int(v)}</v></c>' for n, v in zip(numbers, values)]
+        style = ' s="1"' if kind == "date" else ""
+        return [f'<c r="{letter}{n}"{style}><v>{v}</v></c>' for n, v in zip(numbers, values)]
 
     def make(pdf):
-        rows = ["<row r=\"2\">" + "".join(cell("text", f"{chr(66 + i)}2", c) for i, c in enumerate(columns)) + "</row>"]
-        for n, r in enumerate(pdf.itertuples(index=False), 3):
-            rows.append(f'<row r="{n}">' + "".join(cell(k, f"{chr(66 + i)}{n}", v) for i, (k, v) in enumerate(zip(kinds, r))) + "</row>")
+        letters, numbers = [chr(66 + i) for i in range(len(columns))], range(3, len(pdf) + 3)
+        rows = ["<row r=\"2\">" + "".join(cells("text", a, [2], [c])[0] for a, c in zip(letters, columns)) + "</row>"]
+        made = zip(*[cells(k, a, numbers, c.tolist()) for k, a, (_, c) in zip(kinds, letters, pdf.items())])
+        rows += [f'<row r="{n}">{"".join(r)}</row>' for n, r in zip(numbers, made)]
         out = io.BytesIO()
         with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
             z.writestr("xl/workbook.xml", f'<workbook {_NS} {_REL}><sheets><sheet name="Cash Operations 2024" sheetId="1" r:id="r1"/></sheets></workbook>')
