@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -75,35 +76,62 @@ def _normalised(s: Column, ps: list[Piece]) -> Column:
     return F.regexp_replace(s, rf"(?<![A-Za-z])((?i:{_ABBR}))[A-Za-z](?![A-Za-z])", "$1")
 
 
-class Parsed:
-    """The components a format reads out of a text column."""
+_MARK, _NO_MARK = "\u0001", "\u0002"
+
 
-    def __init__(self, s: Column, fmt: str):
+class Format:
+    """A format's pattern, and where each of its tokens stands."""
+
+    def __init__(self, fmt: str):
         self.pieces = pieces(fmt)
-        s = _normalised(s, self.pieces)
-        self.parts: dict[str, Column] = {}
-        pattern, group, offset = "^", 0, 1
-        at: dict[str, tuple] = {}
+        self.pattern, offset = "^", 1
+        self.at: dict[str, tuple] = {}  # token -> group, offset, width
+        self.groups = 0
         for i, p in enumerate(self.pieces):
             if p.kind == "wildcard":
                 if i + 1 < len(self.pieces):
-                    pattern += "(?s:.*?)"
+                    self.pattern += "(?s:.*?)"
                 offset = None
             elif p.kind == "literal":
-                pattern += re.sub(r"([^A-Za-z0-9 ])", r"\\\1", p.text)
+                self.pattern += re.sub(r"([^A-Za-z0-9 ])", r"\\\1", p.text)
                 offset = None if offset is None or not p.text.isascii() else offset + len(p.text)
             else:
-                pattern += "(" + _PATTERN[p.text] + ")"
-                group += 1
+                self.pattern += "(" + _PATTERN[p.text] + ")"
+                self.groups += 1
                 width = _WIDTH.get(p.text)
-                at[p.text] = (group, offset, width)
+                self.at[p.text] = (self.groups, offset, width)
                 offset = None if offset is None or width is None else offset + width
-        self.ok = s.rlike(pattern)
-        for t, (g, off, width) in at.items():
-            if off is not None and width is not None:
-                self.parts[t] = F.substring(s, off, width)
-            else:
-                self.parts[t] = F.regexp_extract(s, pattern, g)
+        self.fixed = all(off is not None and width is not None for _, off, width in self.at.values())
+        self.plain = not any(p.kind == "token" and p.text == "MMM" for p in self.pieces)
+
+    def cut(self, s: Column) -> Column:
+        """The texts of all groups from one search, and a last empty one; a single text where the format does not fit."""
+        marked = "".join(f"${g}{_MARK}" for g in range(1, self.groups + 1))
+        bare = F.translate(_normalised(s, self.pieces), _MARK, _NO_MARK)
+        return F.split(F.regexp_replace(bare, self.pattern + "(?s:.*)", marked), _MARK, -1)
+
+
+def parsed(s: Column, fmt: str, use: Callable[[Parsed], Column]) -> Column:
+    """A value made of what a format reads out of a text.
+
+    Tokens at fixed places are cut out of the text itself. Others take a search, which is done
+    once for all of them, however often their texts are read.
+    """
+    f = Format(fmt)
+    if f.fixed and f.plain:
+        return use(Parsed(f.pieces, s.rlike(f.pattern), {t: F.substring(s, off, width) for t, (_, off, width) in f.at.items()}))
+
+    def read(cut):
+        return use(Parsed(f.pieces, F.size(cut) > 1, {t: F.get(cut, F.lit(g - 1)) for t, (g, _, _) in f.at.items()}))
+
+    return F.get(F.transform(F.array(f.cut(s)), read), F.lit(0))
+
+
+class Parsed:
+    """The components a format reads out of a text column, and whether the text fits it."""
+
+    def __init__(self, ps: list[Piece], ok: Column, parts: dict[str, Column]):
+        self.pieces, self.ok, self.parts = ps, ok, parts
 
     def get(self, *tokens):
         for t in tokens:

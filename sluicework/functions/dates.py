@@ -13,7 +13,7 @@ from functools import lru_cache
 
 from pyspark.sql import functions as F
 
-from .dateformat import Parsed, render
+from .dateformat import parsed, render
 from .text import _int
 from .values import BOOLEAN, TEXT
 from .values import derive, optional_number, text_arg, val
@@ -165,18 +165,15 @@ def _format(f) -> str:
 def date_convert(s, from_format, to_format):
     """Rewrite a date text from one token format to another; '' when it does not parse."""
     s = text_arg(s, "date_convert")
-    p = Parsed(s.col, _format(from_format))
-    good = p.valid()
-    return derive(
-        F.when(s.col.isNotNull(), F.when(good, render(p, _format(to_format))).otherwise(F.lit(""))), TEXT, s
-    )
+    out = parsed(s.col, _format(from_format), lambda p: F.when(p.valid(), render(p, _format(to_format))).otherwise(F.lit("")))
+    return derive(F.when(s.col.isNotNull(), out), TEXT, s)
 
 
 def is_date(s, fmt=None):
     s = val(s)
     if s.kind != TEXT:
         return derive(F.when(s.col.isNotNull(), F.lit(False)), BOOLEAN, s)
-    ok = _moment(s.col).isNotNull() if fmt is None else Parsed(s.col, _format(fmt)).valid() & (s.col != "")
+    ok = _moment(s.col).isNotNull() if fmt is None else parsed(s.col, _format(fmt), lambda p: p.valid()) & (s.col != "")
     return derive(F.when(s.col.isNotNull(), F.coalesce(ok, F.lit(False))), BOOLEAN, s)
 
 
@@ -187,9 +184,12 @@ def _clock_text(ts):
 def to_utc(s, fmt):
     """UTC form of a timestamp that carries its offset; '' when it does not parse."""
     s = text_arg(s, "to_utc")
-    p = Parsed(s.col, _format(fmt))
-    local = F.concat(p.date_text(), F.lit(" "), p.hour(), F.lit(":"), p.minute(), F.lit(":"), p.second())
-    ts = F.when(p.valid(), local.try_cast("timestamp_ntz")) - F.make_dt_interval(mins=p.offset_minutes())
+
+    def moment(p):
+        local = F.concat(p.date_text(), F.lit(" "), p.hour(), F.lit(":"), p.minute(), F.lit(":"), p.second())
+        return F.when(p.valid(), local.try_cast("timestamp_ntz")) - F.make_dt_interval(mins=p.offset_minutes())
+
+    ts = parsed(s.col, _format(fmt), moment)
     return derive(F.when(s.col.isNotNull(), F.coalesce(_clock_text(ts), F.lit(""))), TEXT, s)
 
 

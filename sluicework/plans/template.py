@@ -118,7 +118,7 @@ class Run:
         rule = rule_index(t.rules)
         if early:
             df = _with_date(df, "_date", text(t.variables[t.date_range]))
-            df = df.withColumn("_date_ok", in_range(F.col("_date"), F.col("_stem"))).drop("_date")
+            df = df.withColumn("_date_ok", _once(in_range(F.col("_date"), F.col("_stem")))).drop("_date")
             rule = F.when(F.col("_date_ok"), rule)
         df = df.withColumn("_rule", rule)
         n = emit_count(t.rules, F.col("_rule"))
@@ -137,7 +137,7 @@ class Run:
         if t.date_range is not None and self._date_override():
             date = choose(t.rules, t.date_range, t.variables.get(t.date_range), F.col("_rule"), F.col("_emit_pos"), text)
             df = _with_date(df, "_date", date)
-            df = df.withColumn("_date_ok", in_range(F.col("_date"), F.col("_stem"))).drop("_date")
+            df = df.withColumn("_date_ok", _once(in_range(F.col("_date"), F.col("_stem")))).drop("_date")
         return df
 
     def _kept(self) -> DataFrame:
@@ -386,6 +386,12 @@ def _with_date(df: DataFrame, name: str, date: Column) -> DataFrame:
     return df.withColumn(name, date).withColumn(name, F.coalesce(canonical_text(F.col(name)), F.lit("")))
 
 
+def _once(test: Column) -> Column:
+    """A test that filters read. Spark spells a filter out in the columns below, again wherever it reads one, unless a
+    generator lies between: the one row it makes holds the outcome."""
+    return F.explode(F.array(test))
+
+
 def _settled(v: Val) -> bool:
     """A literal whose canonical text is itself."""
     return isinstance(v.const, str) and not any(ch.isdigit() or ch == "." for ch in v.const)
