@@ -101,11 +101,16 @@ def _register(spark: SparkSession, names, prefix: str) -> list[str]:
     made.append(prefix + "unaccent")
     if names is None or "is_dst" in names:
         seconds = _body(spark, zones.seconds_of(dates._moment(F.col("a"))))
-        moments = f"try_element_at(from_json('{zones.every_zone(sorted(dates.zone_names()))}', 'map<string,array<bigint>>'), b)"
-        passed = f"aggregate(array({', '.join(str(s) for s in zones.STEPS)}), 0, (n, s) -> CASE WHEN get({moments}, n + s - 1) <= {seconds} THEN n + s ELSE n END)"
+        places, moments = zones.every_zone(sorted(dates.zone_names()))
+        place = f"try_element_at(get(from_json('{places}', 'array<map<string,int>>'), CAST(crc32(CAST(b AS BINARY)) % {zones.BUCKETS} AS INT)), b)"
+        passed = f"get(get(from_json('{moments}', 'array<array<bigint>>'), a.place), a.n + s - 1) <= a.seconds"
+        inside = (
+            f"aggregate(array({', '.join(str(s) for s in zones.STEPS)}), named_struct('n', 0, 'seconds', {seconds}, 'place', {place}), "
+            f"(a, s) -> named_struct('n', CASE WHEN {passed} THEN a.n + s ELSE a.n END, 'seconds', a.seconds, 'place', a.place), a -> a.n % 2 = 1)"
+        )
         spark.sql(
             f"CREATE OR REPLACE TEMPORARY FUNCTION {prefix}is_dst(a STRING, b STRING) RETURNS STRING RETURN "
-            f"CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN CAST({passed} % 2 = 1 AS STRING) END"
+            f"CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN CAST({inside} AS STRING) END"
         )
         made.append(prefix + "is_dst")
     spark.sql(

@@ -6,7 +6,9 @@ import datetime
 import json
 import os
 import struct
+import zlib
 import zoneinfo
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -81,13 +83,23 @@ def changes(zone: str) -> tuple[int, ...]:
 
 #: Steps of a binary search over up to 1023 moments.
 STEPS = [1 << k for k in range(9, -1, -1)]
+#: Zone names are dealt over so many small tables.
+BUCKETS = 4096
 
 
-def in_force(seconds: Column, moments: Column) -> Column:
-    """Whether an odd number of the sorted moments has come; an unknown time or zone has none."""
+def in_force(seconds: Column, moments: Callable[[Column], Column], place: Column) -> Column:
+    """Whether an odd number of the sorted moments at a place has come; an unknown time or place has none.
+
+    The search reads time and place once: it carries them along, but never the moments, which would be copied at each step.
+    """
     steps = F.array(*[F.lit(s) for s in STEPS])
-    passed = F.aggregate(steps, F.lit(0), lambda n, s: F.when(F.get(moments, n + s - 1) <= seconds, n + s).otherwise(n))
-    return passed % 2 == 1
+    start = F.struct(F.lit(0).alias("n"), seconds.alias("seconds"), place.alias("place"))
+
+    def step(a, s):
+        passed = F.get(moments(a.place), a.n + s - 1) <= a.seconds
+        return F.struct(F.when(passed, a.n + s).otherwise(a.n).alias("n"), a.seconds.alias("seconds"), a.place.alias("place"))
+
+    return F.aggregate(steps, start, step, lambda a: a.n % 2 == 1)
 
 
 def seconds_of(ts: Column) -> Column:
@@ -96,18 +108,24 @@ def seconds_of(ts: Column) -> Column:
 
 
 @lru_cache(maxsize=1)
-def _every(names: tuple[str, ...]) -> str:
-    return json.dumps({z: changes(z) for z in names})
+def _every(names: tuple[str, ...]) -> tuple[str, str]:
+    buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
+    for i, z in enumerate(names):
+        buckets[zlib.crc32(z.encode()) % BUCKETS][z] = i
+    return json.dumps(buckets), json.dumps([changes(z) for z in names])
 
 
-def every_zone(names: list[str]) -> str:
-    """The changes of all zones as one JSON object."""
+def every_zone(names: list[str]) -> tuple[str, str]:
+    """The places of all zones, as a JSON array of small tables by name, and the changes at each place."""
     return _every(tuple(names))
 
 
 def daylight(ts: Column, zone: Column, name: str | None, names: list[str]) -> Column:
     """The flag at a local time; name: the zone where it is one literal, names: all there may be."""
     if name is not None:
-        return in_force(seconds_of(ts), F.from_json(F.lit(json.dumps(changes(name))), "array<bigint>"))
-    every = F.from_json(F.lit(every_zone(names)), "map<string,array<bigint>>")
-    return in_force(seconds_of(ts), F.try_element_at(every, zone))
+        every = F.from_json(F.lit(json.dumps([changes(name)])), "array<array<bigint>>")
+        return in_force(seconds_of(ts), lambda place: F.get(every, place), F.lit(0))
+    places, moments = every_zone(names)
+    tables, every = F.from_json(F.lit(places), "array<map<string,int>>"), F.from_json(F.lit(moments), "array<array<bigint>>")
+    place = F.try_element_at(F.get(tables, F.crc32(zone.cast("binary")) % BUCKETS), zone)
+    return in_force(seconds_of(ts), lambda at: F.get(every, at), place)
