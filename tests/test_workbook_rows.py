@@ -109,3 +109,16 @@ def test_plain_rows_are_not_taken_apart_element_by_element():
                 e.clear()
 
     assert min(seconds(lambda: workbook.sheet_rows(z, "s.xml")) for _ in range(3)) < min(seconds(events) for _ in range(3))
+
+
+def test_references_in_cash_sheets_stay_plain():
+    from sluicework.catalog.sources import make_workbook
+    import pandas as pd
+
+    texts = ["a & b", "<x>", "&lt;", "&amp;lt;", "q \" '", "]] >", "note"] * 2000
+    book = make_workbook(["ID", "Comment"], ["num", "text"])(pd.DataFrame({"id": range(len(texts)), "c": texts}))
+    with zipfile.ZipFile(io.BytesIO(book)) as z:
+        got = list(workbook.sheet_rows(z, "xl/worksheets/sheet1.xml"))
+        blocks = list(workbook._blocks(z.open("xl/worksheets/sheet1.xml")))
+    assert [cells for _, cells in got[1:]] == [["", str(i), t] for i, t in enumerate(texts)]
+    assert all(workbook._plain_rows(b, workbook._column, workbook._kind, [], set()) is not None for b in blocks[1:-1])
